@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, ngram_join, packing, quality_rules, token_counts
+from . import byte_bpe, line_dedup, ngram_join, packing, quality_rules, substring_dedup, token_counts, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("host", "t1", "t2")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=20, digest=True)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_repeated_lines(docs, min_chars=20, min_docs=3).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -38,7 +42,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op3_byte_bpe, op4_ngram_join, op5_quality_rules, op8_line_dedup, op9_token_counts)}
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return vector_search.nearest(table, table.where("vec_id % 20 = 0"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op3_byte_bpe, op4_ngram_join, op5_quality_rules, op6_substring_dedup, op8_line_dedup, op9_token_counts, op10_vector_search)}
 
 SQL = {
     "op8_line_dedup": r"""
