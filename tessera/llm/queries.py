@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, ngram_join, packing, quality_rules, substring_dedup, token_counts, vector_search
+from . import byte_bpe, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_rules, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=1024, end_id=0)
 
 
+#: Rules for hosts and paths, in the form verdict, host/path.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"), URL_RULES, _table(spark, sf_dir, "labels"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
@@ -33,6 +41,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=20, digest=True)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_repeated_lines(docs, min_chars=20, min_docs=3).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -47,7 +59,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(table, table.where("vec_id % 20 = 0"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op3_byte_bpe, op4_ngram_join, op5_quality_rules, op6_substring_dedup, op8_line_dedup, op9_token_counts, op10_vector_search)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op2_url_rules, op3_byte_bpe, op4_ngram_join, op5_quality_rules, op6_substring_dedup, op7_quality_classifier, op8_line_dedup, op9_token_counts, op10_vector_search)}
 
 SQL = {
     "op8_line_dedup": r"""
