@@ -79,15 +79,15 @@ def indexable_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select("doc_id", "h.h1", "h.h2").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
-    """All columns of docs, with kept_text, n_lines and n_dropped.
+def with_kept_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
+    """All columns of docs, with __all (the text's lines) and __kept (those that stay).
 
     A key (the line stripped of white space, A-Z folded) of at least min_chars code points that at least min_docs
     documents hold loses its lines everywhere but in the largest doc_id. The lines go into the runs batch by batch;
     then every document's lines are anti-joined with what the runs condemn. Hot lines are counted before they are
     shuffled, and a document's condemned hashes are at most its own lines.
     Null or empty texts are one empty line. Rows with the same doc_id are one document. Rows without a doc_id
-    are not indexed and keep every line. docs may have further columns of any name, but must not have the three added.
+    are not indexed and keep every line.
     """
     spark = docs.sparkSession
     lines = stored(indexable_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).repartition("h1", "h2"), "lines")
@@ -101,10 +101,21 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
         .groupBy(F.col("doc_id").alias("__doc"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
     )
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(condemned, docs["doc_id"].cast("long") == condemned["__doc"], "left")
-    split = F.split(text, "\n", -1)
+    split = F.split(F.coalesce(docs["text"].cast("string"), F.lit("")), "\n", -1)
     survivors = F.filter(split, lambda line: ~F.array_contains("__drop", key_hash(line_key(line))) | (F.length(line_key(line)) < min_chars))
     kept = F.when(F.col("__drop").isNull(), split).otherwise(survivors)
-    out = joined.select(*[docs[c] for c in docs.columns], split.alias("__all"), kept.alias("__kept"))
-    return out.select(*docs.columns, F.array_join("__kept", "\n").alias("kept_text"), F.size("__all").cast("long").alias("n_lines"), (F.size("__all") - F.size("__kept")).cast("long").alias("n_dropped"))
+    return joined.select(*[docs[c] for c in docs.columns], split.alias("__all"), kept.alias("__kept"))
+
+
+def counted(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """doc_id, kept_text, n_lines (before dropping) and n_dropped; see with_kept_lines."""
+    out = with_kept_lines(docs.select("doc_id", "text"), min_chars, min_docs)
+    dropped = (F.size("__all") - F.size("__kept")).cast("long")
+    return out.select("doc_id", F.array_join("__kept", "\n").alias("kept_text"), F.size("__all").cast("long").alias("n_lines"), dropped.alias("n_dropped"))
+
+
+def rewritten(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """docs with its own columns, and in text only the lines that stay; see with_kept_lines."""
+    out = with_kept_lines(docs, min_chars, min_docs)
+    return out.select(*[F.array_join("__kept", "\n").alias(c) if c == "text" else out[c] for c in docs.columns])

@@ -310,3 +310,14 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     smallest = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("smallest"))
     out = rows.join(smallest, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with its own columns, and of each group of linked documents only the row with the smallest doc_id.
+
+    Of repeated rows with one doc_id one stays. Rows without a doc_id are not judged and all stay.
+    """
+    groups = link_components(docs, n, percent)
+    chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__chosen")).distinct()
+    named = docs.where("doc_id is not null").join(chosen, F.col("doc_id").cast("long") == F.col("__chosen"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import BLANKS, line_key
@@ -22,6 +23,7 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _SOLID = np.ones(256, np.int64)
 _SOLID[[0x20, 9, 10, 11, 12, 13, *range(0x80, 0xC0)]] = 0  # bytes that begin a character of a word
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+NAMES = [c.split()[0] for c in STATS.split(", ")]
 
 
 def _repeated_words(first: np.ndarray, hashes: np.ndarray, n: int = 8) -> np.ndarray:
@@ -72,6 +74,17 @@ def depleted(docs: DataFrame) -> DataFrame:
     return lost.groupBy("host", "t1", "t2").agg(F.sum("n").alias("lost_words"))
 
 
+def _rows(docs: DataFrame, host: str) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    t1, t2 = F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), t1, t2, text.alias("text"))
+
+
+def _is_depleted(n_words: Column, lost_words: Column) -> Column:
+    left = n_words - lost_words
+    return (lost_words > 0) & ((left < LEAST_WORDS) | (left <= LEAST_SHARE * n_words))
+
+
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the columns of STATS, lost_words and kept, one row for each row of docs.
 
@@ -81,18 +94,34 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     Null texts have no words and fail; a null host is a host of its own; repeated rows are judged alike.
     """
     arrow_limits(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
+    rows = _rows(docs, host)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in chunks(batch):
                 stats = text_stats(raw, offsets, part.column(4).to_pylist())
                 columns = [*part.columns[:4], *(pa.array(s.astype(np.int64)) for s in stats[:-1]), pa.array(stats[-1])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "t1", "t2", *(c.split()[0] for c in STATS.split(", "))])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "t1", "t2", *NAMES])
 
     base = rows.mapInArrow(run, f"doc_id long, host string, t1 long, t2 long, {STATS}")
     found = base.join(depleted(rows), ["host", "t1", "t2"], "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
-    left = F.col("n_words") - F.col("lost_words")
-    is_depleted = (F.col("lost_words") > 0) & ((left < LEAST_WORDS) | (left <= LEAST_SHARE * F.col("n_words")))
-    return found.select("doc_id", *(c.split()[0] for c in STATS.split(", ")), "lost_words", (~F.col("base_failed") & ~is_depleted).alias("kept"), "host", "t1", "t2")
+    return found.select("doc_id", *NAMES, "lost_words", (~F.col("base_failed") & ~_is_depleted(F.col("n_words"), F.col("lost_words"))).alias("kept"))
+
+
+def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns. Lines above the limits stay in the texts: they
+    are only what the judgement rests on."""
+    arrow_limits(docs.sparkSession)
+
+    @F.pandas_udf("struct<n_words: long, failed: boolean>")
+    def base(texts: pd.Series) -> pd.DataFrame:
+        rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+        parts = [text_stats(raw, offsets, part.column(0).to_pylist()) for part, raw, offsets in chunks(rows)]
+        return pd.DataFrame({name: np.concatenate([p[k] for p in parts]) if parts else [] for name, k in (("n_words", 0), ("failed", -1))})
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = {"__host": F.coalesce(F.col(host).cast("string"), F.lit("\0")), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text)}
+    good = docs.withColumns(key | {"__base": base(text)}).where("not __base.failed")
+    lost = depleted(_rows(docs, host)).select(*[F.col(c).alias(f"__lost_{c}") for c in ("host", "t1", "t2")], "lost_words")
+    same = [F.col(f"__{c}") == F.col(f"__lost_{c}") for c in ("host", "t1", "t2")]
+    return good.join(lost, [*same, _is_depleted(F.col("__base.n_words"), F.col("lost_words"))], "left_anti").select(*[docs[c] for c in docs.columns])

@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,6 +177,28 @@ def _repeats(instances: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, begin int, end int")
 
 
+def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+    """docs with __begins and __ends, the stretches of words to remove (null: none)."""
+    arrow_limits(docs.sparkSession)
+    found = stored(_repeats(_instances(texts_of(docs).where("doc_id is not null"), length), length), "repeats")
+    release(docs.sparkSession)
+    spans = found.distinct().groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__doc"], "left")
+    return joined.select(*[docs[c] for c in docs.columns], F.col("__spans.begin").alias("__begins"), F.col("__spans.end").alias("__ends"))
+
+
+def _kept_words(text: bytes, begins: list[int] | None, ends: list[int] | None) -> tuple[int, list[bytes]]:
+    """The number of words, and the words outside all stretches."""
+    own = text.split()  # bytes.split() knows just the six white-space characters of the contract
+    if begins is None or not len(begins):
+        return len(own), own
+    gone = np.zeros(len(own) + 1, np.int64)
+    np.add.at(gone, begins, 1)
+    np.add.at(gone, ends, -1)
+    stays = np.cumsum(gone[:-1]) == 0
+    return len(own), [word for word, stay in zip(own, stays.tolist(), strict=True) if stay]
+
+
 def remove_repeats(docs: DataFrame, length: int = 20, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (or kept_sha256, with digest): texts without repeated passages.
 
@@ -184,31 +207,32 @@ def remove_repeats(docs: DataFrame, length: int = 20, digest: bool = False) -> D
     Null texts have no words. Rows with one doc_id are one document and get one result each; rows without a doc_id
     take no part and keep all words. Other columns are left behind.
     """
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    docs = texts_of(docs)
-    found = stored(_repeats(_instances(docs.where("doc_id is not null"), length), length), "repeats")
-    release(spark)
-    spans = found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
+    last = "kept_sha256" if digest else "kept_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, offsets in chunks(batch):
-                texts, n_words, n_removed = [], [], []
-                for i, (begins, ends) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)):
-                    own = raw[offsets[i] : offsets[i + 1]].tobytes().split()
-                    n_words.append(len(own))
-                    if begins:
-                        gone = np.zeros(len(own) + 1, np.int64)
-                        np.add.at(gone, begins, 1)
-                        np.add.at(gone, ends, -1)
-                        stays = np.cumsum(gone[:-1]) == 0
-                        own = [word for word, stay in zip(own, stays.tolist(), strict=True) if stay]
-                    n_removed.append(n_words[-1] - len(own))
-                    kept = b" ".join(own)
-                    texts.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", last])
+                spans = zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)
+                own = [_kept_words(raw[offsets[i] : offsets[i + 1]].tobytes(), *span) for i, span in enumerate(spans)]
+                kept = [b" ".join(words_) for _, words_ in own]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(0), pa.array([n for n, _ in own], pa.int64()), pa.array([n - len(w) for n, w in own], pa.int64()),
+                        pa.array([hashlib.sha256(k).hexdigest() if digest else k.decode() for k in kept], pa.string()),
+                    ],
+                    ["doc_id", "n_words", "n_removed", last],
+                )
 
-    last = "kept_sha256" if digest else "kept_text"
-    return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+    return _with_spans(texts_of(docs), length).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+
+
+def rewritten(docs: DataFrame, length: int = 20) -> DataFrame:
+    """docs with its own columns; a text with repeated passages has its kept words joined by one space, others stay."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([b" ".join(_kept_words(t.encode(), b, e)[1]).decode() for t, b, e in zip(texts, begins, ends, strict=True)], dtype=object)
+
+    out = _with_spans(docs, length)
+    text = F.when(F.col("__begins").isNull(), F.col("text").cast("string")).otherwise(cut(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("__begins"), F.col("__ends")))
+    return out.select(*[text.alias(c) if c == "text" else out[c] for c in docs.columns])

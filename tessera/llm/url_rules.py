@@ -11,6 +11,8 @@ from .shared import stored
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of the labelled URLs that a rule's tokens and label must occur in, and the share of a rule's URLs with the label.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: Labelled URLs that a rule must rest on, however few there are.
+MIN_COUNT = 10
 BAD = "label:block"
 
 
@@ -44,7 +46,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     is also pruned if a part of its tokens makes a rule that is as sure: the shorter one matches all that it matches.
     """
     baskets = labelled.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array())).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    least = min(1.0, max(min_support, MIN_COUNT / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = stored(rules, "url-rules")
     parts = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), F.explode("tokens").alias("token"))
