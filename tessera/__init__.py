@@ -1,0 +1 @@
+"""A PySpark analytics engine for star-schema workloads."""

@@ -1,0 +1 @@
+"""Exact numeric helpers."""

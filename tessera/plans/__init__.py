@@ -1,0 +1 @@
+"""The star-schema queries q01 to q22."""

@@ -1,0 +1 @@
+"""No streaming operator: the workload is batch SQL only."""
