@@ -181,8 +181,8 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, na long, nb long, may_link boolean")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b, na, nb) that link, verified on token sets made again from the texts of the sets' homes."""
+def _token_sets(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int) -> DataFrame:
+    """sig and tokens of all sets in pairs (a, b), made again from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +191,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, perce
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(rows)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["sig", "tokens"])
 
-    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     texts = docs.join(homes.join(wanted, "sig"), "doc_id").select("sig", "text").dropDuplicates(["sig"])
-    sets = stored(texts.mapInArrow(run, "sig long, tokens array<long>"), "token-sets")
+    return stored(texts.mapInArrow(run, "sig long, tokens array<long>"), "token-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b, na, nb) that link by their token sets."""
     both = pairs.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     both = both.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -291,17 +295,18 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 
     stars = stored(_bounded(_stars(made.select("sig", F.explode("keys").alias("key")).select("key", "sig")), points, percent), "stars")
     release(spark)
-    links = stored(_verified(stars.where("may_link").drop("may_link"), docs, homes, n, percent), "links")
+    sets = _token_sets(stars, docs, homes, n)
+    links = stored(_verified(stars.where("may_link").drop("may_link"), sets, percent), "links")
     labels = stored(components(links, "a", "b"), "labels")
     release(spark)
 
     torn = _labelled(stars.select("a", "b"), labels).where("la <> lb")
     clusters = stored(components(torn, "la", "lb"), "clusters").select(F.col("node").alias("label"), F.col("component").alias("cluster"))
     named = points.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("component", "sig")).drop("component")
-    known = stars.select("a", "b").where("true")
-    found = _searched(named.join(clusters, "label"), percent).distinct()
-    found = found.join(known, ["a", "b"], "left_anti").join(known.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = stored(_verified(stored(found, "found"), docs, homes, n, percent), "links")
+    # pairs of a star are verified already
+    tried = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    found = _searched(named.join(clusters, "label"), percent).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tried, ["low", "high"], "left_anti")
+    more = stored(_verified(stored(found.drop("low", "high"), "found"), sets, percent), "links")
     final = components(links.unionByName(more), "a", "b")
     release(spark)
 
