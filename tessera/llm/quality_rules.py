@@ -60,8 +60,8 @@ def depleted(docs: DataFrame) -> DataFrame:
     Documents are counted by their different texts, so a text that was copied often is one witness, not many. The
     text with the smallest doc_id keeps a line that goes elsewhere. docs: doc_id, host, t1, t2, text.
     """
-    line = F.explode(F.split("text", "\n", -1)).alias("line")
-    rows = docs.select("doc_id", "host", "t1", "t2", F.monotonically_increasing_id().alias("row"), line)
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", "host", "t1", "t2", "row", F.explode(F.split("text", "\n", -1)).alias("line"))
     rows = rows.withColumn("line", line_key(F.col("line"))).where("line <> ''")
     n = F.size(F.filter(F.split("line", f"[{BLANKS}]+"), lambda x: x != "")).alias("n")
     rows = rows.select("doc_id", "host", "t1", "t2", "row", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("second"), F.col("line")).alias("l2"), n)
