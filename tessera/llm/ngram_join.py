@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -111,8 +111,9 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 new = np.zeros(many, bool)
                 if len(seen) > SEEN:
                     seen.clear()
+                named = rows.column(0).is_valid().to_pylist()
                 for i, s in enumerate(sig.tolist()):
-                    if sizes[i] and s not in seen:
+                    if sizes[i] and named[i] and s not in seen:
                         seen.add(s)
                         new[i] = True
                 take = new[text]
@@ -134,7 +135,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
-    """leader and member: in each bucket the smallest set with each of the others. Buckets stream past, sorted."""
+    """a, b and groups: in each bucket the smallest set (a) with each of the others, and in how many. Buckets stream past, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_leader = None
@@ -151,12 +152,16 @@ def _stars(keyed: DataFrame) -> DataFrame:
             leader = np.repeat(leaders, np.diff(at, append=len(key)))
             last_key, last_leader = key[-1], leader[-1]
             other = sig != leader
-            pairs = np.unique(np.stack([leader[other], sig[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            order = np.lexsort((sig[other], leader[other]))
+            a, b = leader[other][order], sig[other][order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.diff(at, append=len(a)))], ["a", "b", "groups"])
 
     spark = keyed.sparkSession
     dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key", "sig")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, groups long").groupBy("a", "b").agg(F.sum("groups").alias("groups"))
 
 
 def _needed(a, b, percent: int):
@@ -169,39 +174,43 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, pa_, pb = (batch.column(i) for i in range(6))
+            a, b, groups, na, nb, pa_, pb = (batch.column(i) for i in range(7))
             p, q = (np.frombuffer(b"".join(x.to_pylist()), "<i4").reshape(-1, VECTOR) for x in (pa_, pb))
             shared = np.minimum(p, q).sum(1, dtype=np.int64)
             may = (100 + percent) * shared >= _needed(na.to_numpy(), nb.to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([a, b, na, nb, pa.array(may)], ["a", "b", "na", "nb", "may_link"])
+            yield pa.RecordBatch.from_arrays([a, b, groups, na, nb, pa.array(may)], ["a", "b", "groups", "na", "nb", "may_link"])
 
     left = points.select(F.col("sig").alias("a"), F.col("size").alias("na"), F.col("point").alias("point_a"))
     right = points.select(F.col("sig").alias("b"), F.col("size").alias("nb"), F.col("point").alias("point_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "point_a", "point_b")
-    return joined.mapInArrow(run, "a long, b long, na long, nb long, may_link boolean")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "groups", "na", "nb", "point_a", "point_b")
+    return joined.mapInArrow(run, "a long, b long, groups long, na long, nb long, may_link boolean")
 
 
-def _token_sets(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int) -> DataFrame:
-    """sig and tokens of all sets in pairs (a, b), made again from the text of one document of each."""
+def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b, na, nb) that link, by token sets made again from the text of one document of each set.
+
+    A set is made once for each pair where it is b and once for all where it is a, and crosses the network once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, offsets in chunks(batch):
                 hashes, text = shingle_sets(raw, offsets, n)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(rows)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["sig", "tokens"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    texts = docs.join(homes.join(wanted, "sig"), "doc_id").select("sig", "text").dropDuplicates(["sig"])
-    return stored(texts.mapInArrow(run, "sig long, tokens array<long>"), "token-sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b, na, nb) that link by their token sets."""
-    both = pairs.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    both = both.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:4], tokens], ["sig", "a", "need", "role", "tokens"])
+
+    need = _needed(F.col("na"), F.col("nb"), percent).alias("need")
+    members = pairs.select(F.col("b").alias("sig"), "a", need, F.lit("member").alias("role"))
+    leaders = pairs.select(F.col("a").alias("sig"), "a").distinct().select("sig", "a", F.lit(0).cast("long").alias("need"), F.lit("leader").alias("role"))
+    wanted = homes.join(members.unionByName(leaders), "sig")
+    texts = docs.join(wanted, "doc_id").select("sig", "a", "need", "role", "text")
+    sets = stored(texts.mapInArrow(run, "sig long, a long, need long, role string, tokens array<long>"), "token-sets")
+    release(docs.sparkSession)
+    left = sets.where("role = 'member'").select(F.col("sig").alias("b"), "a", "need", F.col("tokens").alias("tokens_b"))
+    right = sets.where("role = 'leader'").select("a", F.col("tokens").alias("tokens_a"))
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.where(shared * (100 + percent) >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    return left.join(right, "a").where(shared * (100 + percent) >= F.col("need")).select("a", "b")
 
 
 class RTree:
@@ -278,27 +287,39 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
+def _with_more(pairs: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, homes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """links and labels, with those of pairs (a, b, na, nb) that link; nothing is read again if there are none."""
+    pairs = stored(pairs.select("a", "b", "na", "nb"), "pairs")
+    if pairs.isEmpty():
+        return links, labels
+    links = links.unionByName(stored(_verified(pairs, docs, homes, n, percent), "links"))
+    return links, stored(components(links, "a", "b"), "labels")
+
+
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of each document: links are Jaccard >= percent / 100 of n-word shingle sets.
 
     component_id is the smallest doc_id reachable by links. Texts are whole; sets are compared by 64-bit hashes of
     shingles, and documents of one set are one node (copies are never expanded into pairs). Documents without words
-    have an empty set and are linked with nothing. A null text has no words. A row without doc_id takes part as
-    a text but can't be the smallest: its component is that of its partners, or null. Repeated rows are copies.
+    have an empty set and are linked with nothing. A null text has no words. A row without doc_id ties
+    nothing together; its component is that of documents with the same set, or null. Repeated rows are copies.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     docs = texts_of(docs)
     made = stored(_signatures(docs, n, percent), "signatures")
     points = stored(made.where("point is not null").groupBy("sig").agg(F.first("size").alias("size"), F.first("point").alias("point")), "points")
-    homes = made.where("size > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    homes = made.where("size > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
 
     stars = stored(_bounded(_stars(made.select("sig", F.explode("keys").alias("key")).select("key", "sig")), points, percent), "stars")
     release(spark)
-    sets = _token_sets(stars, docs, homes, n)
-    links = stored(_verified(stars.where("may_link").drop("may_link"), sets, percent), "links")
+    # a member first tries the leader that it shares most groups with; then other leaders, if that left them apart
+    best = Window.partitionBy("b").orderBy(F.desc("groups"), "a")
+    likely = stars.where("may_link").withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b", "na", "nb")
+    links = stored(_verified(likely, docs, homes, n, percent), "links")
     labels = stored(components(links, "a", "b"), "labels")
-    release(spark)
+    apart = _labelled(stars.where("may_link").join(likely.select("a", "b"), ["a", "b"], "left_anti"), labels).where("la <> lb")
+    links, labels = _with_more(apart, links, labels, docs, homes, n, percent)
 
     torn = _labelled(stars.select("a", "b"), labels).where("la <> lb")
     clusters = stored(components(torn, "la", "lb"), "clusters").select(F.col("node").alias("label"), F.col("component").alias("cluster"))
@@ -306,9 +327,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     # pairs of a star are verified already
     tried = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     found = _searched(named.join(clusters, "label"), percent).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tried, ["low", "high"], "left_anti")
-    more = stored(_verified(stored(found.drop("low", "high"), "found"), sets, percent), "links")
-    final = components(links.unionByName(more), "a", "b")
-    release(spark)
+    _, final = _with_more(found, links, labels, docs, homes, n, percent)
 
     rows = made.select("doc_id", F.col("size").alias("n_shingles"), "sig")
     rows = rows.join(final.withColumnRenamed("node", "sig"), "sig", "left").withColumn("node", F.coalesce("component", "sig"))
