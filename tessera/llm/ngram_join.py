@@ -33,7 +33,7 @@ from .shared import arrow_limits, chunks, partitions, release, stored, texts_of
 from .textops import inside, mix, ngrams, owner, words
 
 #: Coordinates of a point; points in an R-tree leaf and in a block of a large cluster.
-VECTOR, LEAF, BLOCK = 64, 16, 2048
+VECTOR, LEAF, BLOCK = 256, 16, 2048
 #: Sets that a task remembers so as to send copies of one set only once.
 SEEN = 500_000
 
@@ -45,7 +45,15 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while limits[-1] < 1 << 40:
         limits.append(max(limits[-1] + 1, limits[-1] * 100 // percent))
     differ = [2 * size * (100 - percent) // (100 + percent) for size in limits]
-    spare = [1 + math.ceil(t * 0.02) for t in differ]
+    spare = []
+    for kind, t in enumerate(differ):
+        smallest, extra = limits[max(0, kind - 2)], 1
+        while extra < t // 2 + 1:  # as many as a set of the smallest size that comes here has empty groups, but for rare ones
+            empty = (t + 1 + extra) * math.exp(-smallest / (t + 1 + extra))
+            if extra >= empty + 3 * math.sqrt(empty):
+                break
+            extra = math.ceil(extra * 1.1)
+        spare.append(extra)
     return np.array(limits), np.array([t + 1 + s for t, s in zip(differ, spare, strict=True)]), np.array(spare)
 
 
@@ -121,7 +129,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 order = np.argsort(of, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=many))]).astype(np.int32)
                 vector = np.bincount(text * VECTOR + ((hashes >> np.uint64(50)) % np.uint64(VECTOR)).astype(np.int64), minlength=many * VECTOR)
-                points = vector.reshape(many, VECTOR).astype("<i4")
+                points = np.minimum(vector.reshape(many, VECTOR), 65535).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0), pa.array(sizes, pa.int64()), pa.array(sig),
@@ -175,7 +183,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, groups, na, nb, pa_, pb = (batch.column(i) for i in range(7))
-            p, q = (np.frombuffer(b"".join(x.to_pylist()), "<i4").reshape(-1, VECTOR) for x in (pa_, pb))
+            p, q = (np.frombuffer(b"".join(x.to_pylist()), "<u4").reshape(-1, VECTOR) for x in (pa_, pb))
             shared = np.minimum(p, q).sum(1, dtype=np.int64)
             may = (100 + percent) * shared >= _needed(na.to_numpy(), nb.to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([a, b, groups, na, nb, pa.array(may)], ["a", "b", "groups", "na", "nb", "may_link"])
@@ -260,7 +268,7 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         sig, label, size, block = (rows.column(c).to_numpy() for c in ("sig", "label", "size", "block"))
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<i4").reshape(-1, VECTOR)
+        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, VECTOR)
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found: list[tuple[np.ndarray, np.ndarray]] = []

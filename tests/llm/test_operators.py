@@ -155,9 +155,9 @@ def test_ngram_join(docs, none, n, percent):
 
 def test_rtree_finds_all_pairs():
     rng = np.random.default_rng(2)
-    points = rng.poisson(3, (300, ngram_join.VECTOR)).astype("<i4")
-    points[150:] = np.maximum(points[:150] + rng.integers(-1, 2, (150, ngram_join.VECTOR)) * (rng.random((150, ngram_join.VECTOR)) < 0.2), 0)
-    sizes = points.sum(1)
+    points = rng.poisson(3, (300, ngram_join.VECTOR)).astype("<u4")
+    points[150:] = np.maximum(points[:150].astype(int) + rng.integers(-1, 2, (150, ngram_join.VECTOR)) * (rng.random((150, ngram_join.VECTOR)) < 0.2), 0)
+    sizes = points.sum(1).astype(np.int64)
     found = {(q, p) for a, b in ngram_join.RTree(points, sizes).pairs(points, sizes, 85) for q, p in zip(a.tolist(), b.tolist(), strict=True)}
     brute = {(i, j) for i in range(300) for j in range(300) if 185 * np.minimum(points[i], points[j]).sum() >= 85 * (sizes[i] + sizes[j])}
     assert found == brute
