@@ -129,7 +129,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 order = np.argsort(of, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=many))]).astype(np.int32)
                 vector = np.bincount(text * VECTOR + ((hashes >> np.uint64(50)) % np.uint64(VECTOR)).astype(np.int64), minlength=many * VECTOR)
-                points = np.minimum(vector.reshape(many, VECTOR), 65535).astype("<u4")
+                points = vector.reshape(many, VECTOR).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0), pa.array(sizes, pa.int64()), pa.array(sig),
