@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -85,4 +84,3 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps whose results are stored, instead of waiting for the driver's next collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    time.sleep(1.5)  # Spark removes them in the background
