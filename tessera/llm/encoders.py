@@ -22,7 +22,7 @@ import numpy as np
 #: A text longer than this many characters is encoded in parts cut at safe boundaries.
 LONG_TEXT = 200_000
 #: Units kept by one worker; beyond it the cache starts anew.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 150_000
 _BORDER = re.compile(r"[ \t\n\r](?=[A-Za-z0-9])")
 _ODD_SPACE = re.compile(r" (?=\s)")
 _loaded: dict[tuple, object] = {}

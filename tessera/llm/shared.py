@@ -6,6 +6,8 @@ driver and executors share, so that a lost executor never costs more than the st
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -17,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch sent to Python: bounds a worker's memory whatever the texts' length.
-ARROW_ROWS, ARROW_BYTES = 2_000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 2_000, 4 << 20
 #: Bytes of text that a vectorised pass takes at once (a longer single text is taken alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _own_dir: str | None = None
 
@@ -78,6 +80,14 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         to = min(to, n)
         yield batch.slice(at, to - at), raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back to the system: workers wait for their next task, and others need the room meanwhile."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def release(spark: SparkSession) -> None:
