@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, texts_of
+from .shared import discard, stored, texts_of
 
 #: White space stripped from a line before it is hashed, and the letters folded.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -44,6 +44,7 @@ class LineRuns:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             merged = stored(self._merged(self._union(self.levels[level])).sortWithinPartitions("h1", "h2"), "line-run")
+            discard(*self.levels[level])
             self.levels[level] = []
             if level + 1 == len(self.levels):
                 self.levels.append([])
@@ -95,12 +96,14 @@ def with_kept_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bat
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).drop("batch"))
     frequent = runs.entries().where(F.col("n_docs") >= min_docs).drop("n_docs")
-    condemned = (
+    condemned = stored(
         lines.join(frequent, ["h1", "h2"])
         .where("doc_id <> last_doc")
         .groupBy(F.col("doc_id").alias("__doc"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
+        .agg(F.collect_set(F.struct("h1", "h2")).alias("__drop")),
+        "condemned",
     )
+    discard(lines, *(run for level in runs.levels for run in level))
     joined = docs.join(condemned, docs["doc_id"].cast("long") == condemned["__doc"], "left")
     split = F.split(F.coalesce(docs["text"].cast("string"), F.lit("")), "\n", -1)
     survivors = F.filter(split, lambda line: ~F.array_contains("__drop", key_hash(line_key(line))) | (F.length(line_key(line)) < min_chars))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_limits, chunks, partitions, release, stored, texts_of
+from .shared import arrow_limits, chunks, discard, partitions, release, stored, texts_of
 from .textops import inside, mix, ngrams, owner, words
 
 #: Coordinates of a point; points in an R-tree leaf and in a block of a large cluster.
@@ -105,41 +105,49 @@ def group_keys(hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray, percent:
     return np.concatenate(keys), np.concatenate(of)
 
 
-def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size and sig of each document; a task's first document of a set also has its point and its buckets."""
+def _shingled(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """rows, hashes and their texts, sizes, sig (a set's hash) and new: whether the task meets a set here first (or again after SEEN others)."""
+    seen: set[int] = set()
+    for batch in batches:
+        for rows, raw, offsets in chunks(batch):
+            hashes, text = shingle_sets(raw, offsets, n)
+            sizes = np.bincount(text, minlength=len(rows))
+            sig = _sums(hashes, text, len(rows)).view(np.int64)
+            new = np.zeros(len(rows), bool)
+            if len(seen) > SEEN:
+                seen.clear()
+            named = rows.column(0).is_valid().to_pylist()
+            for i, s in enumerate(sig.tolist()):
+                if sizes[i] and named[i] and s not in seen:
+                    seen.add(s)
+                    new[i] = True
+            yield rows, hashes, text, sizes, sig, new
+
+
+def _signatures(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size and sig of each document; a task's first document of a set also has its point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for rows, raw, offsets in chunks(batch):
-                hashes, text = shingle_sets(raw, offsets, n)
-                many = len(rows)
-                sizes = np.bincount(text, minlength=many)
-                sig = _sums(hashes, text, many).view(np.int64)
-                new = np.zeros(many, bool)
-                if len(seen) > SEEN:
-                    seen.clear()
-                named = rows.column(0).is_valid().to_pylist()
-                for i, s in enumerate(sig.tolist()):
-                    if sizes[i] and named[i] and s not in seen:
-                        seen.add(s)
-                        new[i] = True
-                take = new[text]
-                keys, of = group_keys(hashes[take], text[take], np.where(new, sizes, 0), percent)
-                order = np.argsort(of, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=many))]).astype(np.int32)
-                vector = np.bincount(text * VECTOR + ((hashes >> np.uint64(50)) % np.uint64(VECTOR)).astype(np.int64), minlength=many * VECTOR)
-                points = vector.reshape(many, VECTOR).astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0), pa.array(sizes, pa.int64()), pa.array(sig),
-                        pa.array([points[i].tobytes() if new[i] else None for i in range(many)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64))),
-                    ],
-                    ["doc_id", "size", "sig", "point", "keys"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, size long, sig long, point binary, keys array<long>")
+        for rows, hashes, text, sizes, sig, new in _shingled(batches, n):
+            many = len(rows)
+            vector = np.bincount(text * VECTOR + ((hashes >> np.uint64(50)) % np.uint64(VECTOR)).astype(np.int64), minlength=many * VECTOR)
+            points = vector.reshape(many, VECTOR).astype("<u4")
+            point = pa.array([points[i].tobytes() if new[i] else None for i in range(many)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(sig), point], ["doc_id", "size", "sig", "point"])
+
+    return docs.mapInArrow(run, "doc_id long, size long, sig long, point binary")
+
+
+def _bucketed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """key and sig: the buckets of each set. They are made from the texts again, as on disk they would be larger than these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, text, sizes, sig, new in _shingled(batches, n):
+            take = new[text]
+            keys, of = group_keys(hashes[take], text[take], np.where(new, sizes, 0), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sig[of])], ["key", "sig"])
+
+    return docs.mapInArrow(run, "key long, sig long")
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
@@ -218,7 +226,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, perce
     left = sets.where("role = 'member'").select(F.col("sig").alias("b"), "a", "need", F.col("tokens").alias("tokens_b"))
     right = sets.where("role = 'leader'").select("a", F.col("tokens").alias("tokens_a"))
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return left.join(right, "a").where(shared * (100 + percent) >= F.col("need")).select("a", "b")
+    links = stored(left.join(right, "a").where(shared * (100 + percent) >= F.col("need")).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 class RTree:
@@ -300,7 +310,7 @@ def _with_more(pairs: DataFrame, links: DataFrame, labels: DataFrame, docs: Data
     pairs = stored(pairs.select("a", "b", "na", "nb"), "pairs")
     if pairs.isEmpty():
         return links, labels
-    links = links.unionByName(stored(_verified(pairs, docs, homes, n, percent), "links"))
+    links = links.unionByName(_verified(pairs, docs, homes, n, percent))
     return links, stored(components(links, "a", "b"), "labels")
 
 
@@ -315,16 +325,16 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     spark = docs.sparkSession
     arrow_limits(spark)
     docs = texts_of(docs)
-    made = stored(_signatures(docs, n, percent), "signatures")
+    made = stored(_signatures(docs, n), "signatures")
     points = stored(made.where("point is not null").groupBy("sig").agg(F.first("size").alias("size"), F.first("point").alias("point")), "points")
     homes = made.where("size > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
 
-    stars = stored(_bounded(_stars(made.select("sig", F.explode("keys").alias("key")).select("key", "sig")), points, percent), "stars")
+    stars = stored(_bounded(_stars(_bucketed(docs, n, percent)), points, percent), "stars")
     release(spark)
     # a member first tries the leader that it shares most groups with; then other leaders, if that left them apart
     best = Window.partitionBy("b").orderBy(F.desc("groups"), "a")
     likely = stars.where("may_link").withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b", "na", "nb")
-    links = stored(_verified(likely, docs, homes, n, percent), "links")
+    links = _verified(likely, docs, homes, n, percent)
     labels = stored(components(links, "a", "b"), "labels")
     apart = _labelled(stars.where("may_link").join(likely.select("a", "b"), ["a", "b"], "left_anti"), labels).where("la <> lb")
     links, labels = _with_more(apart, links, labels, docs, homes, n, percent)
@@ -336,6 +346,8 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     tried = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     found = _searched(named.join(clusters, "label"), percent).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tried, ["low", "high"], "left_anti")
     _, final = _with_more(found, links, labels, docs, homes, n, percent)
+    discard(points, stars)
+    release(spark)
 
     rows = made.select("doc_id", F.col("size").alias("n_shingles"), "sig")
     rows = rows.join(final.withColumnRenamed("node", "sig"), "sig", "left").withColumn("node", F.coalesce("component", "sig"))

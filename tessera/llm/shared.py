@@ -45,7 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() made, once all that was to be read from them is itself stored."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def arrow_limits(spark: SparkSession) -> None:
