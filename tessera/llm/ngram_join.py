@@ -10,7 +10,9 @@ Tokens (word shingles) are hashed into groups. Two uses are made of the groups:
   more empty ones than that.
 * The R-tree. The counts of tokens in VECTOR fixed groups are a point. No two sets share more tokens than the sum of
   their points' coordinate minima, nor a set and all those below a node more than the minima with the node's largest
-  coordinates. What this bound leaves is verified on the token sets.
+  coordinates. In large sets the minima of so few coordinates leave too much, so their points have more (a power of
+  two, about a quarter of the tokens), which add up to the VECTOR of the tree and to any number in between. What the
+  bound leaves is verified on the token sets.
 
 A bucket is never turned into all its pairs. Its members are first tied to one leader; what that verifies becomes
 components, and only stars that stay torn are searched through an R-tree of their members, skipping pairs that are
@@ -32,7 +34,7 @@ from .components import components
 from .shared import arrow_limits, chunks, discard, partitions, release, stored, texts_of
 from .textops import inside, mix, ngrams, owner, words
 
-#: Coordinates of a point; points in an R-tree leaf and in a block of a large cluster.
+#: Coordinates of a point in the tree; points in an R-tree leaf and in a block of a large cluster.
 VECTOR, LEAF, BLOCK = 256, 16, 2048
 #: Sets that a task remembers so as to send copies of one set only once.
 SEEN = 500_000
@@ -105,6 +107,40 @@ def group_keys(hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray, percent:
     return np.concatenate(keys), np.concatenate(of)
 
 
+def point_dims(sizes: np.ndarray) -> np.ndarray:
+    """Coordinates of a set's point: VECTOR, and a power of two of a quarter of its tokens or more."""
+    quarter = np.maximum(sizes // 4, 1)
+    return np.maximum(VECTOR, 2 ** np.ceil(np.log2(quarter)).astype(np.int64))
+
+
+def points_of(hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Each set's point: tokens counted by the leading bits of their hashes, as little-endian unsigned 32-bit integers."""
+    dims = point_dims(sizes)
+    base = np.concatenate([[0], np.cumsum(dims)])
+    bits = np.round(np.log2(dims)).astype(np.uint64)
+    cell = base[text] + (hashes >> (np.uint64(64) - bits[text])).astype(np.int64)
+    counts = np.bincount(cell, minlength=base[-1]).astype("<u4")
+    return [counts[lo:hi].tobytes() for lo, hi in zip(base[:-1], base[1:], strict=True)]
+
+
+def folded(point: bytes, dims: int) -> bytes:
+    """The point with neighbouring coordinates added up to so many."""
+    return point if len(point) == 4 * dims else np.frombuffer(point, "<u4").reshape(dims, -1).sum(1, dtype="<u4").tobytes()
+
+
+def shared_at_most(p: list[bytes], q: list[bytes]) -> np.ndarray:
+    """The sum of coordinate minima of each p and q, in as many coordinates as both have."""
+    out = np.zeros(len(p), np.int64)
+    dims = np.array([min(len(a), len(b)) // 4 for a, b in zip(p, q, strict=True)], np.int64)
+    for d in np.unique(dims).tolist():
+        at, step = np.flatnonzero(dims == d), max(1, (1 << 20) // d)
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
+            a, b = (np.frombuffer(b"".join(folded(x[i], d) for i in part), "<u4").reshape(-1, d) for x in (p, q))
+            out[part] = np.minimum(a, b).sum(1, dtype=np.int64)
+    return out
+
+
 def _shingled(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     """rows, hashes and their texts, sizes, sig (a set's hash) and new: whether the task meets a set here first (or again after SEEN others)."""
     seen: set[int] = set()
@@ -129,10 +165,7 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, hashes, text, sizes, sig, new in _shingled(batches, n):
-            many = len(rows)
-            vector = np.bincount(text * VECTOR + ((hashes >> np.uint64(50)) % np.uint64(VECTOR)).astype(np.int64), minlength=many * VECTOR)
-            points = vector.reshape(many, VECTOR).astype("<u4")
-            point = pa.array([points[i].tobytes() if new[i] else None for i in range(many)], pa.binary())
+            point = pa.array([p if own else None for p, own in zip(points_of(hashes, text, sizes), new, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(sig), point], ["doc_id", "size", "sig", "point"])
 
     return docs.mapInArrow(run, "doc_id long, size long, sig long, point binary")
@@ -191,8 +224,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, groups, na, nb, pa_, pb = (batch.column(i) for i in range(7))
-            p, q = (np.frombuffer(b"".join(x.to_pylist()), "<u4").reshape(-1, VECTOR) for x in (pa_, pb))
-            shared = np.minimum(p, q).sum(1, dtype=np.int64)
+            shared = shared_at_most(pa_.to_pylist(), pb.to_pylist())
             may = (100 + percent) * shared >= _needed(na.to_numpy(), nb.to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([a, b, groups, na, nb, pa.array(may)], ["a", "b", "groups", "na", "nb", "may_link"])
 
@@ -278,13 +310,17 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         sig, label, size, block = (rows.column(c).to_numpy() for c in ("sig", "label", "size", "block"))
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, VECTOR)
+        fine = rows.column("point").to_pylist()
+        points = np.frombuffer(b"".join(folded(p, VECTOR) for p in fine), "<u4").reshape(-1, VECTOR)
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for q, p in RTree(points[right], size[right]).pairs(points[left], size[left], percent):
             q, p = left[q], right[p]
             use = (label[q] != label[p]) & ((sig[q] < sig[p]) if i == j else True)
+            q, p = q[use], p[use]
+            shared = shared_at_most([fine[x] for x in q], [fine[x] for x in p])
+            use = (100 + percent) * shared >= _needed(size[q], size[p], percent)
             found.append((q[use], p[use]))
         q, p = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": sig[q], "b": sig[p], "na": size[q], "nb": size[p]})
@@ -294,7 +330,8 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return dealt.select("cluster", "i", "j", "sig", "label", "size", "point", "block").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long, na long, nb long")
+    dealt = dealt.select("cluster", "i", "j", "sig", "label", "size", "point", "block").repartition(partitions(members.sparkSession), "cluster", "i", "j")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long, na long, nb long")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch sent to Python: bounds a worker's memory whatever the texts' length.
 ARROW_ROWS, ARROW_BYTES = 2_000, 4 << 20
+#: Rows that the Parquet reader decodes at once: with long texts or arrays, more of them would not fit in the heap.
+READ_ROWS = 256
 #: Bytes of text that a vectorised pass takes at once (a longer single text is taken alone).
 CHUNK_BYTES = 512 << 10
 
@@ -59,7 +61,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Bound what one Arrow batch may hold, by rows and by bytes."""
+    """Bound what one Arrow batch may hold, by rows and by bytes, and what the Parquet reader decodes at once."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 

@@ -322,3 +322,17 @@ def test_vector_search(spark):
     few = vector_search.nearest(table.where("vec_id < 5"), table.where("vec_id = 0"), k=10)
     assert [r.vec_id for r in few.collect() if r.vec_id == 0] == [] and few.count() == 4
     assert vector_search.nearest(table.where("false"), table.where("false")).count() == 0
+
+
+def test_finer_points_bound_shared_tokens():
+    rng = np.random.default_rng(3)
+    both = rng.integers(0, 2**63, 9000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(both[:6000]), np.unique(both[1000:]), np.unique(both[:300]), np.unique(both[5900:9000])]
+    sizes = np.array([len(s) for s in sets])
+    points = ngram_join.points_of(np.concatenate(sets), np.repeat(np.arange(4), sizes), sizes)
+    assert [len(p) // 4 for p in points] == ngram_join.point_dims(sizes).tolist() == [2048, 2048, 256, 1024]
+    pairs = [(i, j) for i in range(4) for j in range(4)]
+    bound = ngram_join.shared_at_most([points[i] for i, _ in pairs], [points[j] for _, j in pairs])
+    coarse = ngram_join.shared_at_most([ngram_join.folded(points[i], 256) for i, _ in pairs], [points[j] for _, j in pairs])
+    exact = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in pairs])
+    assert (exact <= bound).all() and (bound <= coarse).all()
