@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .line_dedup import BLANKS, line_key
-from .shared import arrow_limits, chunks
+from .line_dedup import BLANKS
+from .shared import arrow_limits, chunks, stored
 from .textops import inside, mix, ngrams, owner, words
 
 #: A line goes if more than MIN_DOCS different texts of its host hold it, and more than HOST_SHARE of them.
 MIN_DOCS, HOST_SHARE = 50, 0.1
 #: A document is depleted if lines went and fewer words than LEAST_WORDS, or at most LEAST_SHARE of them, are left.
 LEAST_WORDS, LEAST_SHARE = 20, 0.5
+#: Keys that share a line above the limits, where texts are shuffled to meet it.
+SALTS = 16
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _SOLID = np.ones(256, np.int64)
@@ -54,30 +58,59 @@ def text_stats(raw: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[n
     return [n, per_text(_SOLID), per_text(_SYMBOL.astype(np.int64)), dup, repeat, (n < 20) | (100 * repeat > 30 * n)]
 
 
-def depleted(docs: DataFrame) -> DataFrame:
-    """host, t1, t2 (a text's hash) and lost_words for each different text of a host that holds lines above the limits.
+def _lines(rows: DataFrame) -> DataFrame:
+    """h, t1, t2 and doc_id of each text with l, the hash of one of its different lines, and n, the words of all its copies there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, offsets in chunks(batch):
+                hashes: list[int] = []
+                n: list[int] = []
+                lengths: list[int] = []
+                for i, host in enumerate(part.column(1).to_pylist()):
+                    # on bytes strip() and split() know just the six white-space characters, and lower() folds A-Z only
+                    held = Counter(line.strip().lower() for line in raw[offsets[i] : offsets[i + 1]].tobytes().split(b"\n"))
+                    held.pop(b"", None)
+                    hashes += [xxhash.xxh64_intdigest(line, host & (2**64 - 1)) for line in held]
+                    n += [len(line.split()) * copies for line, copies in held.items()]
+                    lengths.append(len(held))
+                text = pa.array(np.repeat(np.arange(len(part)), lengths))
+                columns = [*(part.column(c).take(text) for c in range(4)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "t1", "t2", "l", "n"])
+
+    return rows.mapInArrow(run, "doc_id long, h long, t1 long, t2 long, l long, n long")
+
+
+def depleted(rows: DataFrame) -> DataFrame:
+    """h, t1, t2 (a host's and a text's hashes) and lost_words for each different text of a host that holds lines above the limits.
 
     Documents are counted by their different texts, so a text that was copied often is one witness, not many. The
-    text with the smallest doc_id keeps a line that goes elsewhere. docs: doc_id, host, t1, t2, text.
+    text with the smallest doc_id (without any, the smallest hash) keeps a line that goes elsewhere. rows: _rows().
+
+    Counting shuffles a few numbers for each line, spread by line and text, then combined before the shuffle by line
+    alone, so a line of a third of all documents is no hot key. Lines above the limits are few (at most 1 / HOST_SHARE
+    times the lines of a host's average text). They are written, and the texts' lines are met with them a second time:
+    by a broadcast where Spark finds the table small enough, else by a shuffle in which SALTS keys share a line.
     """
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("doc_id", "host", "t1", "t2", "row", F.explode(F.split("text", "\n", -1)).alias("line"))
-    rows = rows.withColumn("line", line_key(F.col("line"))).where("line <> ''")
-    n = F.size(F.filter(F.split("line", f"[{BLANKS}]+"), lambda x: x != "")).alias("n")
-    rows = rows.select("doc_id", "host", "t1", "t2", "row", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("second"), F.col("line")).alias("l2"), n)
-    once = rows.groupBy("host", "l1", "l2", "t1", "t2", "row").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    held = once.groupBy("host", "l1", "l2", "t1", "t2").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    lines = held.groupBy("host", "l1", "l2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "t1", "t2")).alias("holder"))
-    sizes = docs.select("host", "t1", "t2").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    above = lines.where(F.col("n_docs") > MIN_DOCS).join(sizes, "host").where(F.col("n_docs") > F.col("host_docs") * HOST_SHARE)
-    lost = held.join(above.select("host", "l1", "l2", "holder"), ["host", "l1", "l2"]).where("t1 <> holder.t1 or t2 <> holder.t2")
-    return lost.groupBy("host", "t1", "t2").agg(F.sum("n").alias("lost_words"))
+    lines = _lines(rows)
+    held = lines.groupBy("h", "l", "t1").agg(F.min("doc_id").alias("doc_id"))
+    holder = F.coalesce(F.min_by("t1", "doc_id"), F.min("t1")).alias("holder")
+    counted = held.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n_docs"), holder).where(F.col("n_docs") > MIN_DOCS)
+    sizes = rows.select("h", "t1", "t2").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("host_docs"))
+    above = stored(counted.join(sizes, "h").where(F.col("n_docs") > F.col("host_docs") * HOST_SHARE).select("h", "l", "holder"), "frequent-lines")
+    salted = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lost = lines.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int")).join(salted, ["h", "l", "salt"]).where("t1 <> holder")
+    return lost.groupBy("h", "t1", "t2", "l").agg(F.max("n").alias("n")).groupBy("h", "t1", "t2").agg(F.sum("n").alias("lost_words"))
 
 
 def _rows(docs: DataFrame, host: str) -> DataFrame:
+    """doc_id, text, and hashes: h of the host (a null host is one of its own), t1 and t2 of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    t1, t2 = F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), t1, t2, text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(host).alias("h"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
+
+
+def _host(host: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))
 
 
 def _is_depleted(n_words: Column, lost_words: Column) -> Column:
@@ -101,10 +134,10 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
             for part, raw, offsets in chunks(batch):
                 stats = text_stats(raw, offsets, part.column(4).to_pylist())
                 columns = [*part.columns[:4], *(pa.array(s.astype(np.int64)) for s in stats[:-1]), pa.array(stats[-1])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "t1", "t2", *NAMES])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "t1", "t2", *NAMES])
 
-    base = rows.mapInArrow(run, f"doc_id long, host string, t1 long, t2 long, {STATS}")
-    found = base.join(depleted(rows), ["host", "t1", "t2"], "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
+    base = rows.mapInArrow(run, f"doc_id long, h long, t1 long, t2 long, {STATS}")
+    found = base.join(depleted(rows), ["h", "t1", "t2"], "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
     return found.select("doc_id", *NAMES, "lost_words", (~F.col("base_failed") & ~_is_depleted(F.col("n_words"), F.col("lost_words"))).alias("kept"))
 
 
@@ -120,8 +153,8 @@ def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
         return pd.DataFrame({name: np.concatenate([p[k] for p in parts]) if parts else [] for name, k in (("n_words", 0), ("failed", -1))})
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = {"__host": F.coalesce(F.col(host).cast("string"), F.lit("\0")), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text)}
+    key = {"__h": _host(host), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text)}
     good = docs.withColumns(key | {"__base": base(text)}).where("not __base.failed")
-    lost = depleted(_rows(docs, host)).select(*[F.col(c).alias(f"__lost_{c}") for c in ("host", "t1", "t2")], "lost_words")
-    same = [F.col(f"__{c}") == F.col(f"__lost_{c}") for c in ("host", "t1", "t2")]
+    lost = depleted(_rows(docs, host)).select(*[F.col(c).alias(f"__lost_{c}") for c in ("h", "t1", "t2")], "lost_words")
+    same = [F.col(f"__{c}") == F.col(f"__lost_{c}") for c in ("h", "t1", "t2")]
     return good.join(lost, [*same, _is_depleted(F.col("__base.n_words"), F.col("lost_words"))], "left_anti").select(*[docs[c] for c in docs.columns])
