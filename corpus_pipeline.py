@@ -19,8 +19,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality_rules.accepted(docs)
+    """Rejected documents go, and lines that a host repeats above the limits."""
+    return _recounted(quality_rules.accepted(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .line_dedup import BLANKS
+from .line_dedup import BLANKS, line_key
 from .shared import arrow_limits, chunks, stored
 from .textops import inside, mix, ngrams, owner, words
 
@@ -81,8 +81,10 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h long, t1 long, t2 long, l long, n long")
 
 
-def depleted(rows: DataFrame) -> DataFrame:
-    """h, t1, t2 (a host's and a text's hashes) and lost_words for each different text of a host that holds lines above the limits.
+def depleted(rows: DataFrame, with_lines: bool = False) -> DataFrame:
+    """h, t1, t2 (a host's and a text's hashes) and lost_words for each different text of a host that loses lines above the limits.
+
+    with_lines: lost_lines too, the hashes of these lines, which are at most the text's own.
 
     Documents are counted by their different texts, so a text that was copied often is one witness, not many. The
     text with the smallest doc_id (without any, the smallest hash) keeps a line that goes elsewhere. rows: _rows().
@@ -100,7 +102,8 @@ def depleted(rows: DataFrame) -> DataFrame:
     above = stored(counted.join(sizes, "h").where(F.col("n_docs") > F.col("host_docs") * HOST_SHARE).select("h", "l", "holder"), "frequent-lines")
     salted = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lost = lines.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int")).join(salted, ["h", "l", "salt"]).where("t1 <> holder")
-    return lost.groupBy("h", "t1", "t2", "l").agg(F.max("n").alias("n")).groupBy("h", "t1", "t2").agg(F.sum("n").alias("lost_words"))
+    columns = [F.sum("n").alias("lost_words"), *([F.collect_list("l").alias("lost_lines")] if with_lines else [])]
+    return lost.groupBy("h", "t1", "t2", "l").agg(F.max("n").alias("n")).groupBy("h", "t1", "t2").agg(*columns)
 
 
 def _rows(docs: DataFrame, host: str) -> DataFrame:
@@ -109,8 +112,12 @@ def _rows(docs: DataFrame, host: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(host).alias("h"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
 
 
+def _host_key(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit("\0"))
+
+
 def _host(host: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))
+    return F.xxhash64(_host_key(host))
 
 
 def _is_depleted(n_words: Column, lost_words: Column) -> Column:
@@ -142,8 +149,8 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns. Lines above the limits stay in the texts: they
-    are only what the judgement rests on."""
+    """The rows of docs that judge() keeps, with their own columns, and in text only the lines that stay: those above
+    the limits go everywhere but in the text that holds them first. Other texts are unchanged."""
     arrow_limits(docs.sparkSession)
 
     @F.pandas_udf("struct<n_words: long, failed: boolean>")
@@ -155,6 +162,11 @@ def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = {"__h": _host(host), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text)}
     good = docs.withColumns(key | {"__base": base(text)}).where("not __base.failed")
-    lost = depleted(_rows(docs, host)).select(*[F.col(c).alias(f"__lost_{c}") for c in ("h", "t1", "t2")], "lost_words")
+    lost = depleted(_rows(docs, host), with_lines=True).select(*[F.col(c).alias(f"__{c}") for c in ("lost_words", "lost_lines")], *[F.col(c).alias(f"__lost_{c}") for c in ("h", "t1", "t2")])
     same = [F.col(f"__{c}") == F.col(f"__lost_{c}") for c in ("h", "t1", "t2")]
-    return good.join(lost, [*same, _is_depleted(F.col("__base.n_words"), F.col("lost_words"))], "left_anti").select(*[docs[c] for c in docs.columns])
+    left = good.join(lost, same, "left").where(~_is_depleted(F.col("__base.n_words"), F.coalesce("__lost_words", F.lit(0))))
+    # a line's hash as in _lines(): xxhash64 of several columns takes the first one's hash as the next one's seed
+    stays = lambda line: ~F.array_contains("__lost_lines", F.xxhash64(_host_key(host), line_key(line)))
+    kept = F.array_join(F.filter(F.split(docs["text"].cast("string"), "\n", -1), stays), "\n")
+    new = F.when(F.col("__lost_lines").isNull(), docs["text"]).otherwise(kept)
+    return left.select(*[new.alias(c) if c == "text" else docs[c] for c in docs.columns])

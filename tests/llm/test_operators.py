@@ -206,6 +206,19 @@ def test_depleted_documents(spark):
     assert all(out[200 + k].kept and out[200 + k].lost_words == 0 for k in range(80)), "copies are one witness"
 
 
+def test_lines_above_limits_go(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(k, f"Menu A\n{words(k)}\n\n \tmENU a\r\nÉtage {k % 2}\n", "a") for k in range(60)]
+    rows += [(100 + k, f"{words(k)}\nno host", None) for k in range(60)] + [(200 + k, f"Menu A\n{words(k)} b", "b") for k in range(40)]
+    rows += [(300, "Menu A", "a"), (301, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = {d: t for d, t, _ in rows[:160]}
+    expected |= {k: f"{words(k)}\n\nÉtage {k % 2}\n" for k in range(1, 60)} | {100 + k: words(k) for k in range(1, 60)}
+    out = quality_rules.accepted(docs).collect()
+    assert len(out) == len(expected) and {r.doc_id: r.text for r in out} == expected
+    assert {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()} == expected.keys()
+
+
 def test_substring_dedup(docs, none):
     seen, expected = set(), {}
     for d, t in sorted(ONCE):
