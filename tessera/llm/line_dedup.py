@@ -85,7 +85,8 @@ def with_kept_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bat
 
     A key (the line stripped of white space, A-Z folded) of at least min_chars code points that at least min_docs
     documents hold loses its lines everywhere but in the largest doc_id. The lines go into the runs batch by batch;
-    then every document's lines are anti-joined with what the runs condemn. Hot lines are counted before they are
+    then every document's lines are filtered by its own hashes that the runs condemn. As totals over all batches decide,
+    no batch is anti-joined with the runs before it (LineRuns.unseen). Hot lines are counted before they are
     shuffled, and a document's condemned hashes are at most its own lines.
     Null or empty texts are one empty line. Rows with the same doc_id are one document. Rows without a doc_id
     are not indexed and keep every line.
