@@ -16,8 +16,10 @@ from .line_dedup import BLANKS, line_key
 from .shared import arrow_limits, chunks, stored
 from .textops import inside, mix, ngrams, owner, words
 
-#: A line goes if more than MIN_DOCS different texts of its host hold it, and more than HOST_SHARE of them.
+#: A line goes if more than MIN_DOCS different texts of its host hold it, and more than HOST_SHARE of them;
 MIN_DOCS, HOST_SHARE = 50, 0.1
+#: or, on large hosts, if more than MANY_DOCS hold it; or, on small ones, at least FEW_DOCS and more than MOST_SHARE.
+MANY_DOCS, FEW_DOCS, MOST_SHARE = 1_000, 5, 0.5
 #: A document is depleted if lines went and fewer words than LEAST_WORDS, or at most LEAST_SHARE of them, are left.
 LEAST_WORDS, LEAST_SHARE = 20, 0.5
 #: Keys that share a line above the limits, where texts are shuffled to meet it.
@@ -91,15 +93,17 @@ def depleted(rows: DataFrame, with_lines: bool = False) -> DataFrame:
 
     Counting shuffles a few numbers for each line, spread by line and text, then combined before the shuffle by line
     alone, so a line of a third of all documents is no hot key. Lines above the limits are few (at most 1 / HOST_SHARE
-    times the lines of a host's average text). They are written, and the texts' lines are met with them a second time:
+    times the lines of a host's average text, and a MANY_DOCS-th of all lines). They are written, and the texts' lines are met with them a second time:
     by a broadcast where Spark finds the table small enough, else by a shuffle in which SALTS keys share a line.
     """
     lines = _lines(rows)
     held = lines.groupBy("h", "l", "t1").agg(F.min("doc_id").alias("doc_id"))
     holder = F.coalesce(F.min_by("t1", "doc_id"), F.min("t1")).alias("holder")
-    counted = held.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n_docs"), holder).where(F.col("n_docs") > MIN_DOCS)
+    counted = held.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n_docs"), holder).where(F.col("n_docs") >= FEW_DOCS)
     sizes = rows.select("h", "t1", "t2").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("host_docs"))
-    above = stored(counted.join(sizes, "h").where(F.col("n_docs") > F.col("host_docs") * HOST_SHARE).select("h", "l", "holder"), "frequent-lines")
+    n, share = F.col("n_docs"), F.col("n_docs") / F.col("host_docs")
+    frequent = ((n > MIN_DOCS) & (share > HOST_SHARE)) | (n > MANY_DOCS) | (share > MOST_SHARE)
+    above = stored(counted.join(sizes, "h").where(frequent).select("h", "l", "holder"), "frequent-lines")
     salted = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lost = lines.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int")).join(salted, ["h", "l", "salt"]).where("t1 <> holder")
     columns = [F.sum("n").alias("lost_words"), *([F.collect_list("l").alias("lost_lines")] if with_lines else [])]

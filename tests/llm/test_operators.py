@@ -209,7 +209,7 @@ def test_depleted_documents(spark):
 def test_lines_above_limits_go(spark):
     words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
     rows = [(k, f"Menu A\n{words(k)}\n\n \tmENU a\r\nÉtage {k % 2}\n", "a") for k in range(60)]
-    rows += [(100 + k, f"{words(k)}\nno host", None) for k in range(60)] + [(200 + k, f"Menu A\n{words(k)} b", "b") for k in range(40)]
+    rows += [(100 + k, f"{words(k)}\nno host", None) for k in range(60)] + [(200 + k, ("Menu A\n" if k % 2 else "") + f"{words(k)} b", "b") for k in range(40)]
     rows += [(300, "Menu A", "a"), (301, None, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     expected = {d: t for d, t, _ in rows[:160]}
@@ -219,6 +219,16 @@ def test_lines_above_limits_go(spark):
     assert {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()} == expected.keys()
 
 
+def test_line_limits_of_large_and_small_hosts(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(25))
+    rows = [(k, words(k) + ("\nmany" if k < 1001 else "\nfewer" if k < 2001 else ""), "large") for k in range(11_000)]
+    rows += [(20_000 + k, words(k) + ("\nmost" if k < 5 else "\nhalf" if k < 9 else ""), "small") for k in range(9)]
+    rows += [(30_000 + k, f"{words(k)}\nall", "tiny") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lost = {r.doc_id for r in quality_rules.judge(docs).where("lost_words > 0").collect()}
+    assert lost == {*range(1, 1001), *range(20_001, 20_005)}
+
+
 def test_substring_dedup(docs, none):
     seen, expected = set(), {}
     for d, t in sorted(ONCE):
