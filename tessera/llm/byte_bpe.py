@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .encoders import ids_bytes, rank_encoding, safe_parts
-from .shared import arrow_limits, chunks, texts_of
+from .shared import at_home, chunks, texts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
@@ -23,7 +23,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, digests: bool =
     SHA-256 in lowercase hex instead (ids_sha256, decoded_sha256). A null text counts as empty (no ids); rows,
     repeated ones and null doc_id included, stay one to one; other columns are left behind.
     """
-    arrow_limits(docs.sparkSession)
+    (docs,) = at_home(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(rank_file, pattern)
@@ -48,7 +48,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, digests: bool =
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """The bytes of rows (doc_id, ids): ids as little-endian unsigned 32-bit integers. Null ids decode to nothing."""
-    arrow_limits(tokens.sparkSession)
+    (tokens,) = at_home(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

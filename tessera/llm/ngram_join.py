@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_limits, chunks, discard, partitions, release, stored, texts_of
+from .shared import at_home, chunks, discard, partitions, stored, texts_of
 from .textops import inside, mix, ngrams, owner, words
 
 #: Coordinates of a point in the tree; points in an R-tree leaf and in a block of a large cluster.
@@ -254,7 +254,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, perce
     wanted = homes.join(members.unionByName(leaders), "sig")
     texts = docs.join(wanted, "doc_id").select("sig", "a", "need", "role", "text")
     sets = stored(texts.mapInArrow(run, "sig long, a long, need long, role string, tokens array<long>"), "token-sets")
-    release(docs.sparkSession)
     left = sets.where("role = 'member'").select(F.col("sig").alias("b"), "a", "need", F.col("tokens").alias("tokens_b"))
     right = sets.where("role = 'leader'").select("a", F.col("tokens").alias("tokens_a"))
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -359,15 +358,12 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     have an empty set and are linked with nothing. A null text has no words. A row without doc_id ties
     nothing together; its component is that of documents with the same set, or null. Repeated rows are copies.
     """
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    docs = texts_of(docs)
+    (docs,) = at_home(texts_of(docs))
     made = stored(_signatures(docs, n), "signatures")
     points = stored(made.where("point is not null").groupBy("sig").agg(F.first("size").alias("size"), F.first("point").alias("point")), "points")
     homes = made.where("size > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
 
     stars = stored(_bounded(_stars(_bucketed(docs, n, percent)), points, percent), "stars")
-    release(spark)
     # a member first tries the leader that it shares most groups with; then other leaders, if that left them apart
     best = Window.partitionBy("b").orderBy(F.desc("groups"), "a")
     likely = stars.where("may_link").withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b", "na", "nb")
@@ -384,7 +380,6 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     found = _searched(named.join(clusters, "label"), percent).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tried, ["low", "high"], "left_anti")
     _, final = _with_more(found, links, labels, docs, homes, n, percent)
     discard(points, stars)
-    release(spark)
 
     rows = made.select("doc_id", F.col("size").alias("n_shingles"), "sig")
     rows = rows.join(final.withColumnRenamed("node", "sig"), "sig", "left").withColumn("node", F.coalesce("component", "sig"))

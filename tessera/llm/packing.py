@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .encoders import encode_all, json_encoding
-from .shared import arrow_limits, chunks, partitions, stored, texts_of
+from .shared import at_home, chunks, partitions, stored, texts_of
 from .textops import mix
 
 #: Buckets that tokens are hashed to, dimensions they are projected to, bits of the curve's key for each of these.
@@ -65,7 +65,7 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 def tokenised(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int) -> DataFrame:
     """doc_id, curve_key, n_tokens and ids (little-endian unsigned 32-bit, end_id last) of each document."""
-    arrow_limits(docs.sparkSession)
+    (docs,) = at_home(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = json_encoding(tokenizer_file, pattern)

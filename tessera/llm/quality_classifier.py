@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_limits, chunks, texts_of
+from .shared import at_home, chunks, texts_of
 from .textops import inside, mix, ngrams, owner, words
 
 #: log2 of the number of features; labelled documents that the model is fitted on at most; passes over them.
@@ -118,5 +118,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score is the bias. Labels that are null count for nothing; of contradicting labels of one doc_id the largest
     counts. Repeated rows are scored alike. Without any label every score is 0.5.
     """
-    arrow_limits(docs.sparkSession)
+    docs, labels = at_home(docs, labels)
     return score(docs, fit(docs, labels))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import BLANKS, line_key
-from .shared import arrow_limits, chunks, stored
+from .shared import at_home, chunks, stored
 from .textops import inside, mix, ngrams, owner, words
 
 #: A line goes if more than MIN_DOCS different texts of its host hold it, and more than HOST_SHARE of them;
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     limits are taken away, and documents depleted by that are rejected. kept: neither failed nor depleted.
     Null texts have no words and fail; a null host is a host of its own; repeated rows are judged alike.
     """
-    arrow_limits(docs.sparkSession)
+    (docs,) = at_home(docs)
     rows = _rows(docs, host)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns, and in text only the lines that stay: those above
     the limits go everywhere but in the text that holds them first. Other texts are unchanged."""
-    arrow_limits(docs.sparkSession)
+    (docs,) = at_home(docs)
 
     @F.pandas_udf("struct<n_words: long, failed: boolean>")
     def base(texts: pd.Series) -> pd.DataFrame:

@@ -1,14 +1,16 @@
-"""What the operators of this subpackage share: scratch tables, Arrow limits and column clean-up.
+"""What the operators of this subpackage share: sessions, scratch tables, joins on hot keys and column clean-up.
 
 Scratch tables cut the lineage: they are Parquet tables below ``spark.checkpoint.dir``, the folder that
 driver and executors share, so that a lost executor never costs more than the stage it was running.
+
+Memory: Arrow batches and numpy passes are bounded by bytes, but one text is never cut before it is read, so a worker
+needs about 60 bytes for each byte of the longest single text (200 MB of text: 12 GB).
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,42 +31,97 @@ _own_dir: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The shared folder named in spark.checkpoint.dir; where it is unset, a folder of our own, on a local master only."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tessera-")
     return _own_dir
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again. The table goes when the application ends."""
+#: Settings of the operators' own sessions: small batches bound a worker's memory; shuffle files go with the query that
+#: wrote them; buckets of a stored run are read in the order that they were written in. A union of tables in buckets
+#: must be shuffled before it is grouped: Spark 4.1 may believe it is in buckets itself, and give a key several rows.
+SETTINGS = {
+    "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.unionOutputPartitioning": "false",
+}
+
+
+def at_home(*frames: DataFrame) -> list[DataFrame]:
+    """The frames in a new session of the same application, which has their session's settings and SETTINGS.
+
+    So an operator's settings hold for its own queries, and the caller's session stays as it is.
+    """
+    caller = frames[0].sparkSession
+    own = caller.newSession()
+    for name, value in {**caller.conf.getAll, **SETTINGS}.items():
+        if name in SETTINGS or (name.startswith("spark.sql.") and own.conf.isModifiable(name)):
+            own.conf.set(name, value)
+    rows = own._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    return [DataFrame(rows(own._jsparkSession, df._jdf.queryExecution().analyzed()), own) for df in frames]
+
+
+def _path_of(df: DataFrame, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, split_by: str | None = None) -> DataFrame:
+    """df, written as a table in the shared folder and read again; split_by: a column of few values, each in a folder of its own."""
+    path = _path_of(df, name)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(split_by) if split_by else writer).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def stored_in_buckets(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """df as a table with one file for each bucket of keys, sorted by them: joins and aggregations on keys don't shuffle it."""
+    path, spark = _path_of(df, name), df.sparkSession
+    table, n = f"scratch_{uuid.uuid4().hex}", partitions(spark)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._scratch, out._table = path, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that stored() made, once all that was to be read from them is itself stored."""
     for table in tables:
         spark = table.sparkSession
+        if hasattr(table, "_table"):
+            spark.sql(f"drop table if exists {table._table}")
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def arrow_limits(spark: SparkSession) -> None:
-    """Bound what one Arrow batch may hold, by rows and by bytes, and what the Parquet reader decodes at once."""
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+#: A key is hot if it has more than one in HOT_KEYS of all rows. Fewer than HOT_KEYS keys can be.
+HOT_KEYS = 10_000
+
+
+def joined(many: DataFrame, keyed: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """many joined with keyed on the columns on, whatever share of many one key has.
+
+    keyed is a stored table with one row for each key, and rows is the number of many's rows with it (or more), out of
+    total. The hot keys, fewer than HOT_KEYS by their definition, are broadcast; the rest is shuffled.
+    """
+    hot = F.broadcast(keyed.where(F.col(rows) > F.lit(total / HOT_KEYS)))
+    cold = keyed.where(F.col(rows) <= F.lit(total / HOT_KEYS))
+    return many.join(hot, on).unionByName(many.join(hot.select(*on), on, "left_anti").join(cold, on))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -101,9 +158,3 @@ def _trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps whose results are stored, instead of waiting for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_limits, chunks, partitions, release, stored, texts_of
+from .shared import at_home, chunks, partitions, stored, texts_of
 from .textops import inside, mix, ngrams, words
 
 #: Words in a seed; contexts that occur twice in a chunk and are remembered by a task.
@@ -179,9 +179,8 @@ def _repeats(instances: DataFrame, length: int) -> DataFrame:
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """docs with __begins and __ends, the stretches of words to remove (null: none)."""
-    arrow_limits(docs.sparkSession)
+    (docs,) = at_home(docs)
     found = stored(_repeats(_instances(texts_of(docs).where("doc_id is not null"), length), length), "repeats")
-    release(docs.sparkSession)
     spans = found.distinct().groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
     joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__doc"], "left")
     return joined.select(*[docs[c] for c in docs.columns], F.col("__spans.begin").alias("__begins"), F.col("__spans.end").alias("__ends"))

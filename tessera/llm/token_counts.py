@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .encoders import count_all
-from .shared import arrow_limits, chunks, texts_of
+from .shared import at_home, chunks, texts_of
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int) -> DataFrame:
@@ -20,7 +20,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int) -> DataFrame:
     found as by the library's default. Returns doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit). A null
     text counts as empty: 0 and 0. Rows stay one to one, other columns are left behind.
     """
-    arrow_limits(docs.sparkSession)
+    (docs,) = at_home(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

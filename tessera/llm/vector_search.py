@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_limits, stored
+from .shared import at_home, stored
 
 #: Edges of a node, width of the beams for building and for searching, slack of the pruning, nodes expanded at once.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, EXPAND = 32, 64, 128, 1.2, 4
@@ -181,8 +181,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     do rows without vec_id. Vectors are compared with those of their own length only. Repeated rows (a vec_id twice
     with one vector) count once.
     """
-    spark = table.sparkSession
-    arrow_limits(spark)
+    table, queries = at_home(table, queries)
     graphs = _graphs(_usable(table).distinct(), k)
     asked = _usable(queries).distinct()
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

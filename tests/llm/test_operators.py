@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import byte_bpe, components, encoders, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_rules, vector_search
+from tessera.llm import byte_bpe, components, encoders, line_dedup, ngram_join, packing, quality_classifier, quality_rules, shared, substring_dedup, token_counts, url_rules, vector_search
 from tessera.llm.queries import URL_RULES
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -268,13 +268,28 @@ def test_line_dedup(docs, none):
 
 
 def test_line_runs(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    batches = [spark.createDataFrame([(10 * k + d, h, h) for d in range(3) for h in range(k, k + 3)], "doc_id long, h1 long, h2 long") for k in range(5)]
-    for batch in batches:
+    (spark_rows,) = shared.at_home(spark.range(1))
+    make = spark_rows.sparkSession.createDataFrame
+    runs = line_dedup.LineRuns(fanout=2)
+    batches = [make([(90 - 10 * k + d, h, h) for d in range(3) for h in range(k, k + 3)], "doc_id long, h1 long, h2 long") for k in range(5)]
+    for k, batch in enumerate(batches):
+        assert sorted(r.h1 for r in runs.unseen(batch).select("h1").distinct().collect()) == ([0, 1, 2] if k == 0 else [k + 2])
         runs.add(batch)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert {r.h1: (r.n_docs, r.last_doc) for r in runs.entries().collect()} == {h: (3 * sum(k <= h < k + 3 for k in range(5)), 10 * min(h, 4) + 2) for h in range(7)}
-    assert sorted(r.h1 for r in runs.unseen(spark.createDataFrame([(1, 3, 3), (1, 99, 99)], "doc_id long, h1 long, h2 long")).collect()) == [99]
+    # a hash's keeper is the largest document of the batch that the anti-join found it new in
+    assert {r.h1: (r.n_docs, r.keeper) for r in runs.entries().collect()} == {h: (3 * sum(k <= h < k + 3 for k in range(5)), 90 - 10 * max(0, h - 2) + 2) for h in range(7)}
+    assert sorted(r.h1 for r in runs.unseen(make([(1, 3, 3), (1, 99, 99)], "doc_id long, h1 long, h2 long")).collect()) == [99]
+    text = runs.unseen(batches[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "LeftAnti" in text
+
+
+def test_line_dedup_with_a_line_in_a_third_of_all_documents(spark):
+    common = "the same long line in very many documents"
+    rows = [(k, f"{common}\nonly here, in document {k}" if k % 3 == 0 else f"nothing but document number {k}") for k in range(3000)]
+    rows += [(0, rows[0][1]), (1, rows[1][1])]
+    out = line_dedup.counted(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(out) == 3002 and sum(r.n_dropped for r in out) == 1000
+    assert [r.doc_id for r in out if common in r.kept_text] == [2997]
 
 
 def test_classifier(spark, docs, none):
