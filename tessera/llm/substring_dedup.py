@@ -3,8 +3,15 @@
 A text's k-word hashes are winnowed: each window of ``length`` words chooses the smallest of the k-word hashes inside
 it (the leftmost, if equal). The choice depends on the window's words only, so two equal windows choose the same seed
 at the same place, and documents joined on seeds miss no repeat. The windows that chose an anchor lie side by side
-around it; comparing them one by one with those of earlier instances of the seed extends a match left and right,
-and neighbouring anchors' matches add up to maximal repeats.
+around it and are its context: the seed extended to the left and to the right.
+
+Anchors meet by their seeds, and cross the network without their windows. Of anchors with one seed and one context all
+but the first are repeats as a whole. Where a seed has several contexts, the first anchor of each is extended word by
+word: its windows are made from the text once more and compared. Neighbouring anchors' matches add up to maximal repeats.
+
+A seed that more than one in HOT_KEYS anchors has is dealt by its contexts instead, and all of these are extended. Seeds
+are found to be that frequent by counters that every task keeps of all its anchors, COUNTERS at most, and that add up:
+none is missed, and there are fewer than 1.4 * HOT_KEYS.
 """
 
 from __future__ import annotations
@@ -18,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import at_home, chunks, partitions, stored, texts_of
+from .shared import HOT_KEYS, at_home, chunks, discard, joined, partitions, stored, texts_of
 from .textops import inside, mix, ngrams, words
 
 #: Words in a seed; contexts that occur twice in a chunk and are remembered by a task.
 SEED_WORDS, HOT = 5, 200_000
+#: Counters of frequent seeds that a task keeps; anchors below which a seed is not frequent.
+COUNTERS, LEAST_FREQUENT = 4 * HOT_KEYS, 64
+#: Kinds of anchors: met by seed; met by context, as the seed is frequent; known to be a repeat.
+BY_SEED, BY_CONTEXT, SETTLED = 0, 1, 2
 
 
 def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,11 +95,46 @@ class _Hot:
         return out
 
 
-def _instances(docs: DataFrame, length: int) -> DataFrame:
-    """seed, doc_id, pos (first window) and windows (their hashes) of each anchor.
+class Counters:
+    """Frequent values among all that were counted: none with more than one in ``size`` of them is missing, and a count
+    falls short by one in ``size`` of them at most (a Misra-Gries summary; sums of summaries keep that promise)."""
+
+    def __init__(self, size: int = COUNTERS):
+        self.size, self.total, self.value, self.n = size, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def count(self, values: np.ndarray) -> None:
+        self.total += len(values)
+        value, n = np.unique(values, return_counts=True)
+        self.value, at = np.unique(np.concatenate([self.value, value]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.value)).astype(np.int64)
+        if len(self.value) > self.size:
+            self.n -= np.partition(self.n, -self.size - 1)[-self.size - 1]
+            self.value, self.n = self.value[self.n > 0], self.n[self.n > 0]
+
+
+def _frequent_seeds(docs: DataFrame, length: int) -> np.ndarray:
+    """The seeds that more than one in HOT_KEYS anchors has, sorted. The driver gets fewer than 1.4 * HOT_KEYS numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = Counters()
+        for batch in batches:
+            for _, raw, offsets in chunks(batch):
+                counters.count(anchors(raw, offsets, length)[0])
+        yield pa.RecordBatch.from_arrays([pa.array([None, *counters.value.view(np.int64).tolist()], pa.int64()), pa.array([counters.total, *counters.n.tolist()], pa.int64())], ["seed", "n"])
 
-    Where a task has seen the same context earlier, all windows are known to be repeats: such a row carries their
-    number instead (in settled) and a key of its own, so that copies are thinned out before the shuffle.
+    counts = stored(docs.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seed-counts")
+    total = counts.where("seed is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    least = max(LEAST_FREQUENT, total / HOT_KEYS - total / COUNTERS)
+    found = [row.seed for row in counts.where(F.col("seed").isNotNull() & (F.col("n") >= F.lit(float(least)))).select("seed").collect()]
+    discard(counts)
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _instances(docs: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
+    """key, context, doc_id and place of each anchor; place holds pos (first window), n (its windows) and the kind.
+
+    Where a task has seen the same context earlier, all windows are known to be repeats: such a row has a key of its
+    own, so that copies are thinned out before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,88 +148,97 @@ def _instances(docs: DataFrame, length: int) -> DataFrame:
                 n = np.diff(at, append=len(windows))
                 context = mix(np.add.reduceat(mix(windows), at) ^ mix(seed))
                 done = hot.settled(context, doc, pos)
-                seed = np.where(done, mix(context + mix(doc.view(np.uint64)) + pos.astype(np.uint64)), seed)
-                keep = np.repeat(~done, n)
-                ends = np.concatenate([[0], np.cumsum(np.where(done, 0, n))]) * 8
-                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(windows[keep])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.where(done, n, 0).astype(np.int32)), data],
-                    ["seed", "doc_id", "pos", "settled", "windows"],
-                )
+                spread = mix(context + mix(doc.view(np.uint64)) + pos.astype(np.uint64))
+                often = np.isin(seed, frequent)
+                key = np.where(done, spread, np.where(often, mix(seed + context), seed))
+                kind = np.where(done, SETTLED, np.where(often, BY_CONTEXT, BY_SEED))
+                place = (pos << 12) | (n << 2) | kind
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.where(done, 0, context).view(np.int64)), pa.array(doc), pa.array(place)], ["key", "context", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "seed long, doc_id long, pos int, settled int, windows binary")
+    return docs.mapInArrow(run, "key long, context long, doc_id long, place long")
 
 
-def _runs(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "begin", "end"])
+def _met(instances: DataFrame) -> DataFrame:
+    """doc_id, pos, n and repeat of anchors that are repeats (true), or first of their context but not alone with their
+    seed (false). Rows stream past, sorted; of a key only its last context and, as long as that is alone, its first anchor are kept."""
 
-
-def _repeats(instances: DataFrame, length: int) -> DataFrame:
-    """doc_id, begin and end (words) of stretches whose windows all stand earlier too. Seeds stream past, sorted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # key and context of the row before, and that context's first anchor
+        alone: tuple | None = None  # doc and place of the only context of the last key so far
+        for batch in batches:
+            key, context, doc, place = (batch.column(i).to_numpy() for i in range(4))
+            settled = (place & 3) == SETTLED
+            out = [(doc[settled], place[settled], True)]
+            key, context, doc, place = (x[~settled] for x in (key, context, doc, place))
+            if len(key):
+                new_key, new = np.ones(len(key), bool), np.ones(len(key), bool)
+                new_key[1:] = key[1:] != key[:-1]
+                new[1:] = new_key[1:] | (context[1:] != context[:-1])
+                if last is not None and key[0] == last[0]:
+                    new_key[0], new[0] = False, context[0] != last[1]
+                group = np.cumsum(new_key)  # 0: the last key of the batch before
+                contexts = np.bincount(group[new], minlength=group[-1] + 1)
+                if not new_key[0]:
+                    if alone is not None and contexts[0]:
+                        out.append((np.array([alone[0]]), np.array([alone[1]]), False))
+                    contexts[0] += 1 if alone is not None else 2
+                several = new & ((contexts[group] > 1) | ((place & 3) == BY_CONTEXT))
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+                d, p = np.where(lead < 0, last[2] if last else 0, doc[lead]), np.where(lead < 0, last[3] if last else 0, place[lead])
+                later = (doc != d) | (place != p)  # a repeated row is no repeat of itself
+                out += [(doc[later], place[later], True), (doc[several], place[several], False)]
+                if contexts[group[-1]] > 1:
+                    alone = None
+                elif new_key.any():  # else the key is still that of the batch before, and so is its only context
+                    at = np.flatnonzero(new & (group == group[-1]))[0]
+                    alone = (doc[at], place[at]) if (place[at] & 3) == BY_SEED else None
+                last = (key[-1], context[-1], d[-1], p[-1])
+            d, p, r = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), np.repeat([o[2] for o in out], [len(o[0]) for o in out])
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array((p >> 12).astype(np.int32)), pa.array((p >> 2 & 1023).astype(np.int32)), pa.array(r)], ["doc_id", "pos", "n", "repeat"])
+
+    dealt = instances.repartition(partitions(instances.sparkSession), "key").sortWithinPartitions("key", "context", "doc_id", "place")
+    return dealt.mapInArrow(run, "doc_id long, pos int, n int, repeat boolean")
+
+
+def _extended(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """doc_id and pos of those windows of the anchors in places that stand earlier too. Windows have 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
-            seed, doc, pos, settled = (batch.column(i).to_numpy() for i in range(4))
-            if not len(seed):
-                continue
-            known = settled > 0
-            if known.any():
-                yield _runs(doc[known], pos[known], pos[known] + settled[known] + length - 1)
-            windows = batch.column(4)
-            ends = np.frombuffer(windows.buffers()[1], np.int32)[windows.offset : windows.offset + len(seed) + 1] // 8
-            data = windows.buffers()[2]
-            values = np.frombuffer(data, np.uint64)[ends[0] : ends[-1]] if data is not None and data.size else np.zeros(0, np.uint64)
-            n = np.diff(ends)
-            begins = np.ones(len(seed), bool)
-            begins[1:] = seed[1:] != seed[:-1]
-            group = np.cumsum(begins) - 1
-            carried = last is not None and seed[0] == last
-            of = np.repeat(np.arange(len(seed)), n)
-            place = pos[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            # groups of one anchor have nothing to be compared with
-            many = np.bincount(group) > 1
-            if carried:
-                many[0] = True
-            many[-1] = True  # the next batch may go on with it
-            take = many[group[of]]
-            g, v, d, p = group[of][take], values[take], doc[of][take], place[take].astype(np.int32)
-            if carried:
-                v, d, p = (np.concatenate(x) for x in zip(kept, (v, d, p), strict=True))
-                g = np.concatenate([np.zeros(len(kept[0]), g.dtype), g])
-            order = np.lexsort((np.arange(len(v)), v, g))  # equal windows of a seed: by document and place
-            gs, vs = g[order], v[order]
-            new = np.ones(len(vs), bool)
-            new[1:] = (gs[1:] != gs[:-1]) | (vs[1:] != vs[:-1])
-            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(vs)), 0))]
-            first = np.empty(len(v), np.int64)
-            first[order] = lead
-            repeat = (d != d[first]) | (p != p[first])
-            end_group = g == group[-1]
-            fresh = end_group & (first == np.arange(len(v)))
-            last, kept = seed[-1], (v[fresh], d[fresh], p[fresh])
-            if carried:
-                repeat[: len(repeat) - int(take.sum())] = False
-            hit = np.flatnonzero(repeat)
-            if len(hit):
-                cut = np.ones(len(hit), bool)
-                cut[1:] = (hit[1:] != hit[:-1] + 1) | (d[hit[1:]] != d[hit[:-1]]) | (p[hit[1:]] != p[hit[:-1]] + 1)
-                begin = np.flatnonzero(cut)
-                final = np.append(begin[1:], len(hit)) - 1
-                yield _runs(d[hit[begin]], p[hit[begin]], p[hit[final]] + length)
-
-    spark = instances.sparkSession
-    dealt = instances.repartition(partitions(spark), "seed").sortWithinPartitions("seed", "doc_id", "pos")
-    return dealt.mapInArrow(run, "doc_id long, begin int, end int")
+            for rows, raw, offsets in chunks(batch):
+                w = words(raw, offsets)
+                h1, h2 = ngrams(w.hash, length), ngrams(mix(w.hash + np.uint64(1)), length)
+                spots = rows.column(2).combine_chunks() if isinstance(rows.column(2), pa.ChunkedArray) else rows.column(2)
+                of = np.repeat(np.arange(len(rows)), np.asarray(spots.value_lengths()))
+                pos, n = (spots.flatten().field(c).to_numpy().astype(np.int64) for c in ("pos", "n"))
+                of, at = np.repeat(of, n), np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                there = at + length <= w.counts[of]  # a row of the same doc_id may have another text
+                of, at = of[there], at[there]
+                spot = w.first[of] + at
+                yield pa.RecordBatch.from_arrays([pa.array(h1[spot].view(np.int64)), pa.array(h2[spot].view(np.int64)), rows.column(0).take(pa.array(of)), pa.array(at.astype(np.int32))], ["w1", "w2", "doc_id", "pos"])
+
+    spots = places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("spots"))
+    windows = stored(docs.join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(run, "w1 long, w2 long, doc_id long, pos int"), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    several = stored(first.where("n > 1"), "several")
+    late = joined(windows, several, ["w1", "w2"], "n", windows.count()).where(F.struct("doc_id", "pos") != F.col("first"))
+    late = stored(late.select("doc_id", "pos"), "late-windows")
+    discard(windows, several)
+    return late
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """docs with __begins and __ends, the stretches of words to remove (null: none)."""
     (docs,) = at_home(docs)
-    found = stored(_repeats(_instances(texts_of(docs).where("doc_id is not null"), length), length), "repeats")
-    spans = found.distinct().groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__doc"], "left")
-    return joined.select(*[docs[c] for c in docs.columns], F.col("__spans.begin").alias("__begins"), F.col("__spans.end").alias("__ends"))
+    named = texts_of(docs).where("doc_id is not null")
+    met = stored(_met(_instances(named, length, _frequent_seeds(named, length))), "met")
+    whole = met.where("repeat").select("doc_id", F.col("pos").alias("begin"), (F.col("pos") + F.col("n") + (length - 1)).alias("end"))
+    late = _extended(named, met.where("not repeat").select("doc_id", "pos", "n"), length)
+    parts = late.select("doc_id", F.col("pos").alias("begin"), (F.col("pos") + length).alias("end"))
+    spans = stored(whole.unionByName(parts).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("begin", "end")).alias("__spans")), "spans")
+    discard(met, late)
+    joined_docs = docs.join(spans, docs["doc_id"].cast("long") == spans["__doc"], "left")
+    return joined_docs.select(*[docs[c] for c in docs.columns], F.col("__spans.begin").alias("__begins"), F.col("__spans.end").alias("__ends"))
 
 
 def _kept_words(text: bytes, begins: list[int] | None, ends: list[int] | None) -> tuple[int, list[bytes]]:
@@ -191,9 +246,9 @@ def _kept_words(text: bytes, begins: list[int] | None, ends: list[int] | None) -
     own = text.split()  # bytes.split() knows just the six white-space characters of the contract
     if begins is None or not len(begins):
         return len(own), own
-    gone = np.zeros(len(own) + 1, np.int64)
-    np.add.at(gone, begins, 1)
-    np.add.at(gone, ends, -1)
+    gone = np.zeros(len(own) + 1, np.int64)  # a stretch of another text with this doc_id may reach beyond this one
+    np.add.at(gone, np.minimum(begins, len(own)), 1)
+    np.add.at(gone, np.minimum(ends, len(own)), -1)
     stays = np.cumsum(gone[:-1]) == 0
     return len(own), [word for word, stay in zip(own, stays.tolist(), strict=True) if stay]
 
@@ -204,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, digest: bool = False) -> D
     A word goes if a window of ``length`` words over it has words that also start earlier: in a smaller doc_id, or
     further in front in the same document. Windows are those of the input. Kept words are joined by one space.
     Null texts have no words. Rows with one doc_id are one document and get one result each; rows without a doc_id
-    take no part and keep all words. Other columns are left behind.
+    take no part and keep all words. Other columns are left behind. An empty table gives no rows.
     """
     last = "kept_sha256" if digest else "kept_text"
 
