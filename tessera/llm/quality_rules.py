@@ -13,17 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import BLANKS, line_key
-from .shared import at_home, chunks, stored
+from .shared import at_home, chunks, discard, joined, stored
 from .textops import inside, mix, ngrams, owner, words
 
-#: A line goes if more than MIN_DOCS different texts of its host hold it, and more than HOST_SHARE of them;
-MIN_DOCS, HOST_SHARE = 50, 0.1
-#: or, on large hosts, if more than MANY_DOCS hold it; or, on small ones, at least FEW_DOCS and more than MOST_SHARE.
-MANY_DOCS, FEW_DOCS, MOST_SHARE = 1_000, 5, 0.5
+#: A line goes if more documents of its host hold it than line_limit(): a tenth of them, but on large hosts fewer
+#: (ROOT_SHARE square roots of their number), and more than FEW_DOCS in any case.
+HOST_SHARE, ROOT_SHARE, FEW_DOCS = 0.1, 2, 5
 #: A document is depleted if lines went and fewer words than LEAST_WORDS, or at most LEAST_SHARE of them, are left.
 LEAST_WORDS, LEAST_SHARE = 20, 0.5
-#: Keys that share a line above the limits, where texts are shuffled to meet it.
-SALTS = 16
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _SOLID = np.ones(256, np.int64)
@@ -61,7 +58,7 @@ def text_stats(raw: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[n
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """h, t1, t2 and doc_id of each text with l, the hash of one of its different lines, and n, the words of all its copies there."""
+    """h, d and t1 of each text with l, the hash of one of its different lines in its host, and n, the words of all its copies there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,43 +74,47 @@ def _lines(rows: DataFrame) -> DataFrame:
                     n += [len(line.split()) * copies for line, copies in held.items()]
                     lengths.append(len(held))
                 text = pa.array(np.repeat(np.arange(len(part)), lengths))
-                columns = [*(part.column(c).take(text) for c in range(4)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "t1", "t2", "l", "n"])
+                columns = [*(part.column(c).take(text) for c in (1, 2, 3)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "d", "t1", "l", "n"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, t1 long, t2 long, l long, n long")
+    return rows.mapInArrow(run, "h long, d long, t1 long, l long, n long")
 
 
-def depleted(rows: DataFrame, with_lines: bool = False) -> DataFrame:
-    """h, t1, t2 (a host's and a text's hashes) and lost_words for each different text of a host that loses lines above the limits.
+def line_limit(host_docs: Column) -> Column:
+    """Documents of a host of so many that may hold a line."""
+    return F.greatest(F.lit(float(FEW_DOCS)), F.least(HOST_SHARE * host_docs, ROOT_SHARE * F.sqrt(host_docs)))
 
-    with_lines: lost_lines too, the hashes of these lines, which are at most the text's own.
 
-    Documents are counted by their different texts, so a text that was copied often is one witness, not many. The
-    text with the smallest doc_id (without any, the smallest hash) keeps a line that goes elsewhere. rows: _rows().
+def lost_lines(rows: DataFrame) -> DataFrame:
+    """h, d, t1 (host, document and text), lost_words and lost_lines (hashes, at most the text's own) where lines are above the limits.
 
-    Counting shuffles a few numbers for each line, spread by line and text, then combined before the shuffle by line
-    alone, so a line of a third of all documents is no hot key. Lines above the limits are few (at most 1 / HOST_SHARE
-    times the lines of a host's average text, and a MANY_DOCS-th of all lines). They are written, and the texts' lines are met with them a second time:
-    by a broadcast where Spark finds the table small enough, else by a shuffle in which SALTS keys share a line.
+    A line is counted in the different documents of its host and goes everywhere if they are more than line_limit().
+    rows: _rows(). Lines are a few numbers each, written once and read twice. Counting shuffles them by line and
+    document and then one number a task for each line. A hot line, and a host with most of the lines, are met by
+    a broadcast of fewer than HOT_KEYS rows (see shared.joined).
     """
-    lines = _lines(rows)
-    held = lines.groupBy("h", "l", "t1").agg(F.min("doc_id").alias("doc_id"))
-    holder = F.coalesce(F.min_by("t1", "doc_id"), F.min("t1")).alias("holder")
-    counted = held.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n_docs"), holder).where(F.col("n_docs") >= FEW_DOCS)
-    sizes = rows.select("h", "t1", "t2").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("host_docs"))
-    n, share = F.col("n_docs"), F.col("n_docs") / F.col("host_docs")
-    frequent = ((n > MIN_DOCS) & (share > HOST_SHARE)) | (n > MANY_DOCS) | (share > MOST_SHARE)
-    above = stored(counted.join(sizes, "h").where(frequent).select("h", "l", "holder"), "frequent-lines")
-    salted = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lost = lines.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int")).join(salted, ["h", "l", "salt"]).where("t1 <> holder")
-    columns = [F.sum("n").alias("lost_words"), *([F.collect_list("l").alias("lost_lines")] if with_lines else [])]
-    return lost.groupBy("h", "t1", "t2", "l").agg(F.max("n").alias("n")).groupBy("h", "t1", "t2").agg(*columns)
+    lines = stored(_lines(rows), "lines")
+    counted = stored(lines.select("h", "l", "d").distinct().groupBy("h", "l").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > FEW_DOCS), "counted-lines")
+    hosts = rows.select("h", "d").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("host_docs"))
+    hosts = stored(hosts.join(counted.groupBy("h").agg(F.count(F.lit(1)).alias("host_lines")), "h"), "hosts")
+    above = joined(counted, hosts, ["h"], "host_lines", counted.count()).where(F.col("n_docs") > line_limit(F.col("host_docs")))
+    above = stored(above.select("h", "l", "n_docs"), "frequent-lines")
+    held = above.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first().n
+    lost = joined(lines, above, ["h", "l"], "n_docs", held).groupBy("h", "d", "t1").agg(F.collect_set(F.struct("l", "n")).alias("lost"))
+    words_ = F.aggregate("lost", F.lit(0).cast("long"), lambda total, x: total + x["n"]).alias("lost_words")
+    out = stored(lost.select("h", "d", "t1", words_, F.col("lost.l").alias("lost_lines")), "lost-lines")
+    discard(lines, counted, hosts, above)
+    return out
 
 
 def _rows(docs: DataFrame, host: str) -> DataFrame:
-    """doc_id, text, and hashes: h of the host (a null host is one of its own), t1 and t2 of the text."""
+    """doc_id, h (hash of the host, a null host being one of its own), d (the document: doc_id, or its text without one), t1 (hash of the text), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(host).alias("h"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(host).alias("h"), _document(text).alias("d"), F.xxhash64(text).alias("t1"), text.alias("text"))
+
+
+def _document(text: Column) -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("document"), text))
 
 
 def _host_key(host: str) -> Column:
@@ -135,7 +136,8 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     base_failed: fewer than 20 words, or over 30 in 100 words in repeated 8-word windows. Lines (normalised: white
     space stripped, A-Z folded) are hashed and counted in the different documents of their host; those above the
     limits are taken away, and documents depleted by that are rejected. kept: neither failed nor depleted.
-    Null texts have no words and fail; a null host is a host of its own; repeated rows are judged alike.
+    Null texts have no words and fail; a null host is a host of its own; repeated rows are one document and judged
+    alike; rows without a doc_id are one document for each text. An empty table gives no rows.
     """
     (docs,) = at_home(docs)
     rows = _rows(docs, host)
@@ -145,16 +147,19 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
             for part, raw, offsets in chunks(batch):
                 stats = text_stats(raw, offsets, part.column(4).to_pylist())
                 columns = [*part.columns[:4], *(pa.array(s.astype(np.int64)) for s in stats[:-1]), pa.array(stats[-1])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "t1", "t2", *NAMES])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "d", "t1", *NAMES])
 
-    base = rows.mapInArrow(run, f"doc_id long, h long, t1 long, t2 long, {STATS}")
-    found = base.join(depleted(rows), ["h", "t1", "t2"], "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
+    base = rows.mapInArrow(run, f"doc_id long, h long, d long, t1 long, {STATS}")
+    found = base.join(lost_lines(rows).drop("lost_lines"), ["h", "d", "t1"], "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
     return found.select("doc_id", *NAMES, "lost_words", (~F.col("base_failed") & ~_is_depleted(F.col("n_words"), F.col("lost_words"))).alias("kept"))
 
 
 def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns, and in text only the lines that stay: those above
-    the limits go everywhere but in the text that holds them first. Other texts are unchanged."""
+    """The rows of docs that judge() keeps, with their own columns, and in text only the lines that stay.
+
+    Lines above the limits go everywhere; texts without such lines are unchanged. Nulls, repeated rows and rows
+    without a doc_id are as in judge(): a null text has no words and its row goes. Columns may have any further names.
+    """
     (docs,) = at_home(docs)
 
     @F.pandas_udf("struct<n_words: long, failed: boolean>")
@@ -164,10 +169,10 @@ def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
         return pd.DataFrame({name: np.concatenate([p[k] for p in parts]) if parts else [] for name, k in (("n_words", 0), ("failed", -1))})
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = {"__h": _host(host), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text)}
+    key = {"__h": _host(host), "__d": _document(text), "__t1": F.xxhash64(text)}
     good = docs.withColumns(key | {"__base": base(text)}).where("not __base.failed")
-    lost = depleted(_rows(docs, host), with_lines=True).select(*[F.col(c).alias(f"__{c}") for c in ("lost_words", "lost_lines")], *[F.col(c).alias(f"__lost_{c}") for c in ("h", "t1", "t2")])
-    same = [F.col(f"__{c}") == F.col(f"__lost_{c}") for c in ("h", "t1", "t2")]
+    lost = lost_lines(_rows(docs, host)).select(*[F.col(c).alias(f"__{c}") for c in ("lost_words", "lost_lines")], *[F.col(c).alias(f"__lost_{c}") for c in ("h", "d", "t1")])
+    same = [F.col(f"__{c}") == F.col(f"__lost_{c}") for c in ("h", "d", "t1")]
     left = good.join(lost, same, "left").where(~_is_depleted(F.col("__base.n_words"), F.coalesce("__lost_words", F.lit(0))))
     # a line's hash as in _lines(): xxhash64 of several columns takes the first one's hash as the next one's seed
     stays = lambda line: ~F.array_contains("__lost_lines", F.xxhash64(_host_key(host), line_key(line)))

@@ -74,5 +74,56 @@ marked as (select keyed.doc_id, line, pos, coalesce(keyed.doc_id <> last_doc, fa
 select doc_id, count(*) as n_lines, cast(sum(cast(dropped as int)) as bigint) as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op5_quality_rules": r"""
+with docs as (
+    select doc_id, coalesce(source, chr(1)) as host, coalesce(text, '') as text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+        string_split(coalesce(text, ''), chr(10)) as lines
+    from documents
+),
+windows as (
+    select doc_id, pos, array_to_string(words[pos : pos + 7], ' ') as w
+    from (select doc_id, words, unnest(range(1, len(words) - 6)) as pos from docs)
+),
+twice as (select doc_id, pos from (select doc_id, pos, count(*) over (partition by doc_id, w) as n from windows) where n > 1),
+covered as (select doc_id, count(distinct pos + k) as n_repeat_words from twice, (select unnest(range(8)) as k) group by doc_id),
+lined as (select doc_id, host, unnest(lines) as line from docs),
+solid as (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w from lined),
+dups as (select doc_id, count(*) - count(distinct line) as n_dup_lines from solid where len(w) > 0 group by doc_id),
+keyed as (
+    select doc_id, host, len(w) as n,
+        translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+    from solid where len(w) > 0
+),
+hosts as (select host, count(distinct doc_id) as host_docs from docs group by host),
+frequent as (
+    select host, k from keyed join hosts using (host) group by host, k, host_docs
+    having count(distinct doc_id) > greatest(5, least(0.1 * host_docs, 2 * sqrt(host_docs)))
+),
+lost as (select doc_id, cast(sum(n) as bigint) as lost_words from keyed join frequent using (host, k) group by doc_id),
+base as (
+    select doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
+        cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+        coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(lost_words, 0) as lost_words
+    from docs left join dups using (doc_id) left join covered using (doc_id) left join lost using (doc_id)
+),
+failed as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words,
+    not base_failed and not (lost_words > 0 and (n_words - lost_words < 20 or n_words - lost_words <= 0.5 * n_words)) as kept
+from failed
+""",
+    "op6_substring_dedup": r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+    select doc_id, pos, md5(array_to_string(words[pos : pos + 19], ' ')) as w
+    from (select doc_id, words, unnest(range(1, len(words) - 18)) as pos from docs)
+),
+later as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by w order by doc_id, pos) as n from windows) where n > 1),
+gone as (select distinct doc_id, pos + k as pos from later, (select unnest(range(20)) as k)),
+placed as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from docs),
+kept as (select doc_id, string_agg(word, ' ' order by pos) as kept, count(*) as n_kept from placed anti join gone using (doc_id, pos) group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, len(words) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from docs left join kept using (doc_id)
 """,
 }

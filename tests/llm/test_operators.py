@@ -186,47 +186,53 @@ def stats(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
 
 
-def test_quality_rules(docs, none):
-    out = quality_rules.judge(docs)
-    same(out.select("doc_id", *quality_rules.NAMES), [(d, *stats(t)) for d, t in ROWS])
-    assert all(r.kept == (not r.base_failed) for r in out.collect())
-    assert quality_rules.accepted(docs).schema == docs.schema
-    assert sorted(r.text or "" for r in quality_rules.accepted(docs).collect()) == sorted(t or "" for _, t in ROWS if not stats(t)[-1])
-    assert quality_rules.judge(none).count() == quality_rules.accepted(none).count() == 0
+def judged(rows):
+    """Brute force: (row's position) -> stats, lost words, kept, and the text that is left. rows: doc_id, text, host."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(FOLD)
+    holders, members = defaultdict(set), defaultdict(set)
+    name = lambda d, t: ("text", t or "") if d is None else d
+    for d, t, host in rows:
+        members[host].add(name(d, t))
+        for line in (t or "").split("\n"):
+            if key(line):
+                holders[host, key(line)].add(name(d, t))
+    limit = {h: max(5, min(0.1 * len(m), 2 * len(m) ** 0.5)) for h, m in members.items()}
+    out = []
+    for _, t, host in rows:
+        lines = (t or "").split("\n")
+        above = [line for line in lines if len(holders.get((host, key(line)), ())) > limit[host]]
+        lost, (n, *_, failed) = sum(len(WORD.findall(x)) for x in above), stats(t)
+        kept = not failed and not (lost > 0 and (n - lost < 20 or n - lost <= 0.5 * n))
+        out.append((*stats(t), lost, kept, "\n".join(x for x in lines if x not in above) if above else t))
+    return out
+
 
+def check_rules(spark_rows, rows):
+    expected = judged(rows)
+    same(quality_rules.judge(spark_rows), [(d, *e[:-1]) for (d, _, _), e in zip(rows, expected, strict=True)])
+    left = quality_rules.accepted(spark_rows)
+    assert left.schema == spark_rows.schema
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(((d, e[-1]) for (d, _, _), e in zip(rows, expected, strict=True) if e[-2]), key=repr)
+    return expected
 
-def test_depleted_documents(spark):
-    menu = "\n".join(" ".join(f"menu{a}{b}" for b in range(10)) for a in range(3))
-    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
-    rows = [(k, f"{menu}\n{words(k)}", "a") for k in range(70)] + [(100 + k, f"{menu}\nonly {k}", "a") for k in range(3)]
-    rows += [(200 + k, words(0), "b") for k in range(80)]
-    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not any(out[100 + k].kept for k in range(3)) and out[100].lost_words == 30 and not out[100].base_failed
-    assert all(out[k].kept for k in range(70)), "a menu does not reject a document with words of its own"
-    assert all(out[200 + k].kept and out[200 + k].lost_words == 0 for k in range(80)), "copies are one witness"
 
+def test_quality_rules(docs, none):
+    check_rules(docs, [(d, t, None if d == 4 else f"host{(d or 0) % 3}") for d, t in ROWS])
+    assert quality_rules.judge(none).count() == quality_rules.accepted(none).count() == 0
 
-def test_lines_above_limits_go(spark):
-    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+
+def test_lines_above_limits_and_depleted_documents(spark):
+    words = lambda k, n=30: " ".join(f"w{k}x{j}" for j in range(n))
     rows = [(k, f"Menu A\n{words(k)}\n\n \tmENU a\r\nÉtage {k % 2}\n", "a") for k in range(60)]
-    rows += [(100 + k, f"{words(k)}\nno host", None) for k in range(60)] + [(200 + k, ("Menu A\n" if k % 2 else "") + f"{words(k)} b", "b") for k in range(40)]
-    rows += [(300, "Menu A", "a"), (301, None, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    expected = {d: t for d, t, _ in rows[:160]}
-    expected |= {k: f"{words(k)}\n\nÉtage {k % 2}\n" for k in range(1, 60)} | {100 + k: words(k) for k in range(1, 60)}
-    out = quality_rules.accepted(docs).collect()
-    assert len(out) == len(expected) and {r.doc_id: r.text for r in out} == expected
-    assert {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()} == expected.keys()
-
-
-def test_line_limits_of_large_and_small_hosts(spark):
-    words = lambda k: " ".join(f"w{k}x{j}" for j in range(25))
-    rows = [(k, words(k) + ("\nmany" if k < 1001 else "\nfewer" if k < 2001 else ""), "large") for k in range(11_000)]
-    rows += [(20_000 + k, words(k) + ("\nmost" if k < 5 else "\nhalf" if k < 9 else ""), "small") for k in range(9)]
-    rows += [(30_000 + k, f"{words(k)}\nall", "tiny") for k in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    lost = {r.doc_id for r in quality_rules.judge(docs).where("lost_words > 0").collect()}
-    assert lost == {*range(1, 1001), *range(20_001, 20_005)}
+    rows += [(100 + k, f"{words(k)}\nno host", None) for k in range(30)] + [(200 + k, ("Menu A\n" if k % 2 else "") + f"{words(k)} b", "b") for k in range(20)]
+    rows += [(400 + k, f"Menu A\n{words('m', 40)}\nonly {words(k, 50 if k == 3 else 9)}", "a") for k in range(8)]
+    rows += [(500 + k, words("copied"), "c") for k in range(9)] + [(600 + k, words(k), "c") for k in range(30)]
+    rows += [(700 + k, f"{words(k)}\n{'five' if k < 5 else 'six' if k < 11 else 'none'}", "d") for k in range(14)]
+    rows += [(None, f"{words('n')}\nsix", "d"), (None, f"{words('n')}\nsix", "d"), (705, f"{words(5)}\nsix", "d"), (300, "Menu A", "a"), (301, None, "a")]
+    expected = check_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), rows)
+    verdict = {d: (e[-3], e[-2]) for (d, _, _), e in zip(rows, expected, strict=True)}
+    assert not verdict[400][1] and verdict[403][1] and not verdict[500][1] and verdict[705][0] == 1 and verdict[700][0] == 0
+    assert sum(lost > 0 for lost, _ in verdict.values()) > 100
 
 
 def test_substring_dedup(docs, none):
@@ -249,6 +255,44 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_hot_seeds_and_passages(spark, monkeypatch):
+    """A passage in every second text, a five-word phrase in all, near copies, and a frequent seed's own path."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    passage, phrase, base = prose(26), prose(5), prose(90)
+    rows = [(k, f"{prose(12)} {passage if k % 2 else ''} {prose(9)} {phrase} {prose(20)}") for k in range(150)]
+    rows += [(1000 + k, " ".join(x if j != k % 90 else f"new{k}" for j, x in enumerate(base.split()))) for k in range(120)]
+    rows += [(2000, "ab " * 70), (2001, None), (1000, rows[150][1])]
+    seen, expected = set(), {}
+    for d, t in sorted({d: t or "" for d, t in rows}.items()):
+        w = t.split()
+        gone = set()
+        for i in range(len(w) - 19):
+            if tuple(w[i : i + 20]) in seen:
+                gone |= set(range(i, i + 20))
+            seen.add(tuple(w[i : i + 20]))
+        expected[d] = " ".join(x for i, x in enumerate(w) if i not in gone)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for least in (64, 3):
+        monkeypatch.setattr(substring_dedup, "LEAST_FREQUENT", least)
+        named = shared.texts_of(shared.at_home(docs)[0])
+        assert (len(substring_dedup._frequent_seeds(named, 20)) > 0) == (least == 3) or least == 64
+        assert {r.doc_id: r.kept_text for r in substring_dedup.remove_repeats(docs).collect()} == expected
+
+
+def test_counters_miss_no_frequent_value():
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.zipf(1.3, 20_000).astype(np.uint64), rng.integers(10**6, 10**9, 20_000).astype(np.uint64)])
+    rng.shuffle(values)
+    counters = substring_dedup.Counters(200)
+    for part in np.array_split(values, 37):
+        counters.count(part)
+    found = dict(zip(counters.value.tolist(), counters.n.tolist(), strict=True))
+    exact = Counter(values.tolist())
+    assert len(found) <= 200 and counters.total == 40_000
+    assert all(n - 200 <= found.get(v, 0) <= n for v, n in exact.items() if n > 200)
+
+
 def test_line_dedup(docs, none):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(FOLD)
     holders = defaultdict(set)
