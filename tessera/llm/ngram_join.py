@@ -15,8 +15,14 @@ Tokens (word shingles) are hashed into groups. Two uses are made of the groups:
   bound leaves is verified on the token sets.
 
 A bucket is never turned into all its pairs. Its members are first tied to one leader; what that verifies becomes
-components, and only stars that stay torn are searched through an R-tree of their members, skipping pairs that are
-already in one component. All links between different components are found, hence the components are exact.
+components, and only stars that stay torn are searched, each by itself, through R-trees of their members, skipping
+pairs that are already in one component. All links between different components are found, hence the components are exact.
+
+A bucket that more than one in HOT_KEYS entries falls into never comes to one task: its leader is known beforehand, from
+counters that every task keeps of all its entries and that add up, so each entry is tied to it where it is made.
+
+Sets and shingles are compared by 64 random bits. Among n different sets a pair is taken for one set with a chance of
+n * n / 2 ** 65: 3 in 10,000 for 10 ** 8 sets.
 """
 
 from __future__ import annotations
@@ -31,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import at_home, chunks, discard, partitions, stored, texts_of
+from .shared import Counters, at_home, chunks, discard, frequent, partitions, stored, texts_of
 from .textops import inside, mix, ngrams, owner, words
 
-#: Coordinates of a point in the tree; points in an R-tree leaf and in a block of a large cluster.
-VECTOR, LEAF, BLOCK = 256, 16, 2048
+#: Coordinates of a point in the tree; points in an R-tree leaf and in a block of a large star.
+VECTOR, LEAF, BLOCK = 256, 16, 1024
 #: Sets that a task remembers so as to send copies of one set only once.
 SEEN = 500_000
+#: Entries below which a bucket is not frequent.
+LEAST_FREQUENT = 64
 
 
 @lru_cache
@@ -160,49 +168,82 @@ def _shingled(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
             yield rows, hashes, text, sizes, sig, new
 
 
-def _signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size and sig of each document; a task's first document of a set also has its point."""
+def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, size and sig of each document; a task's first document of a set also has its point.
+
+    Further rows, without a size, hold each task's counters of its buckets: key, n and leader (null key: n of all).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counters = ["doc_id", "size", "sig", "point", "key", "n", "leader"], Counters()
         for rows, hashes, text, sizes, sig, new in _shingled(batches, n):
             point = pa.array([p if own else None for p, own in zip(points_of(hashes, text, sizes), new, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(sig), point], ["doc_id", "size", "sig", "point"])
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(sig), point, none, none, none], names)
+            take = new[text]
+            keys, of = group_keys(hashes[take], text[take], np.where(new, sizes, 0), percent)
+            counters.count(keys, sig[of])
+        none = pa.nulls(len(counters.n) + 1, pa.int64())
+        keys = pa.array([None, *counters.value.view(np.int64).tolist()], pa.int64())
+        leaders = pa.array([None, *counters.payload.tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), keys, pa.array([counters.total, *counters.n.tolist()], pa.int64()), leaders], names)
 
-    return docs.mapInArrow(run, "doc_id long, size long, sig long, point binary")
+    return docs.mapInArrow(run, "doc_id long, size long, sig long, point binary, key long, n long, leader long")
 
 
-def _bucketed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """key and sig: the buckets of each set. They are made from the texts again, as on disk they would be larger than these."""
+def _frequent_buckets(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of frequent buckets, sorted, and a leader for each. The driver gets fewer than 1.4 * HOT_KEYS rows."""
+    counts = stored(made.where("size is null").groupBy("key").agg(F.sum("n").alias("n"), F.min("leader").alias("leader")), "bucket-counts")
+    found = frequent(counts, "key", LEAST_FREQUENT).select("key", "leader").collect()
+    discard(counts)
+    keys = np.array([row.key for row in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([row.leader for row in found], np.int64)[order]
+
+
+def _bucketed(docs: DataFrame, n: int, percent: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key and sig: the buckets of each set; leader: of a frequent bucket, whose entries have keys of their own.
+
+    They are made from the texts again, as on disk they would be larger than these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, leaders = often
         for _, hashes, text, sizes, sig, new in _shingled(batches, n):
             take = new[text]
             keys, of = group_keys(hashes[take], text[take], np.where(new, sizes, 0), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sig[of])], ["key", "sig"])
+            sigs, tied, leader = sig[of], np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                tied, leader = hot[at] == keys, leaders[at]
+                keys = np.where(tied, mix(keys + mix(sigs.view(np.uint64))), keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sigs), pa.array(leader, mask=~tied)], ["key", "sig", "leader"])
 
-    return docs.mapInArrow(run, "key long, sig long")
+    return docs.mapInArrow(run, "key long, sig long, leader long")
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
-    """a, b and groups: in each bucket the smallest set (a) with each of the others, and in how many. Buckets stream past, sorted."""
+    """a, b and groups: in each bucket its leader, by default the smallest set (a), with each of the others, and in how many. Buckets stream past, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_leader = None
         for batch in batches:
-            key, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            begins = np.ones(len(key), bool)
-            begins[1:] = key[1:] != key[:-1]
-            at = np.flatnonzero(begins)
-            leaders = sig[at].copy()
-            if last_key is not None and key[0] == last_key:
-                leaders[0] = last_leader
-            leader = np.repeat(leaders, np.diff(at, append=len(key)))
-            last_key, last_leader = key[-1], leader[-1]
-            other = sig != leader
-            order = np.lexsort((sig[other], leader[other]))
-            a, b = leader[other][order], sig[other][order]
+            tied = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            key, sig, known = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+            a, b, key, sig = known[tied], sig[tied], key[~tied], sig[~tied]
+            if len(key):
+                begins = np.ones(len(key), bool)
+                begins[1:] = key[1:] != key[:-1]
+                at = np.flatnonzero(begins)
+                leaders = sig[at].copy()
+                if last_key is not None and key[0] == last_key:
+                    leaders[0] = last_leader
+                leader = np.repeat(leaders, np.diff(at, append=len(key)))
+                last_key, last_leader = key[-1], leader[-1]
+                a, b = np.concatenate([a, leader]), np.concatenate([b, sig])
+            other = a != b
+            order = np.lexsort((b[other], a[other]))
+            a, b = a[other][order], b[other][order]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             at = np.flatnonzero(new)
@@ -301,20 +342,23 @@ class RTree:
             yield who[i], rows[j]
 
 
-def _searched(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one cluster but of different labels that the R-tree's bound leaves. members: cluster, sig, label, size, point.
+def _searched(stars: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """a, b, na and nb: pairs within a star (a, b) but of different labels that the R-trees' bound leaves.
 
-    A cluster of more than BLOCK members is cut into blocks, and each pair of blocks is a task of its own.
+    Only stars whose members have several labels are searched. A star is cut into blocks of about BLOCK members: a
+    label with half a block or more has blocks of its own, the others share blocks. Each pair of blocks is a group
+    of its own, but for two blocks of the same label, so a star that is one large component with a few stray members
+    costs a pass over its members, not their square.
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         sig, label, size, block = (rows.column(c).to_numpy() for c in ("sig", "label", "size", "block"))
         fine = rows.column("point").to_pylist()
-        points = np.frombuffer(b"".join(folded(p, VECTOR) for p in fine), "<u4").reshape(-1, VECTOR)
+        points_ = np.frombuffer(b"".join(folded(p, VECTOR) for p in fine), "<u4").reshape(-1, VECTOR)
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for q, p in RTree(points[right], size[right]).pairs(points[left], size[left], percent):
+        for q, p in RTree(points_[right], size[right]).pairs(points_[left], size[left], percent):
             q, p = left[q], right[p]
             use = (label[q] != label[p]) & ((sig[q] < sig[p]) if i == j else True)
             q, p = q[use], p[use]
@@ -324,13 +368,24 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
         q, p = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": sig[q], "b": sig[p], "na": size[q], "nb": size[p]})
 
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    dealt = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    dealt = dealt.select("cluster", "i", "j", "sig", "label", "size", "point", "block").repartition(partitions(members.sparkSession), "cluster", "i", "j")
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long, na long, nb long")
+    spokes = stars.select("a", F.col("b").alias("sig")).unionByName(stars.select("a", F.col("a").alias("sig")).distinct())
+    members = spokes.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left")
+    members = stored(members.withColumn("label", F.coalesce("label", "sig")), "star-members")
+    counts = members.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
+    few = F.sum(F.when(F.col("n") < BLOCK // 2, F.col("n")).otherwise(0)).alias("few")
+    torn = stored(counts.join(counts.groupBy("a").agg(F.count(F.lit(1)).alias("labels"), few).where("labels > 1"), "a"), "torn-stars")
+    own = F.col("n") >= BLOCK // 2
+    number = lambda n: F.pmod(F.xxhash64("sig"), F.greatest(F.lit(1), F.ceil(n / BLOCK)))
+    placed = members.join(torn, ["a", "label"]).select(
+        "a", "sig", "label", F.when(own, F.col("label")).alias("pure"),
+        F.when(own, F.xxhash64("label", number(F.col("n")))).otherwise(F.xxhash64(number(F.col("few")))).alias("block"),
+    )
+    placed = stored(placed, "placed")
+    blocks = stored(placed.select("a", "block", "pure").distinct().groupBy("a").agg(F.collect_list(F.struct("block", "pure")).alias("blocks")), "blocks")
+    dealt = placed.join(blocks, "a").withColumn("other", F.explode("blocks")).drop("blocks")
+    dealt = dealt.where("pure is null or other.pure is null or pure <> other.pure")
+    dealt = dealt.join(points, "sig").select("a", F.least("block", "other.block").alias("i"), F.greatest("block", "other.block").alias("j"), "sig", "label", "size", "point", "block")
+    return dealt.repartition(partitions(stars.sparkSession), "a", "i", "j").groupBy("a", "i", "j").applyInArrow(run, "a long, b long, na long, nb long")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -341,13 +396,10 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-def _with_more(pairs: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, homes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """links and labels, with those of pairs (a, b, na, nb) that link; nothing is read again if there are none."""
+def _more_links(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """Those of pairs (a, b, na, nb) that link; without pairs nothing is read again."""
     pairs = stored(pairs.select("a", "b", "na", "nb"), "pairs")
-    if pairs.isEmpty():
-        return links, labels
-    links = links.unionByName(_verified(pairs, docs, homes, n, percent))
-    return links, stored(components(links, "a", "b"), "labels")
+    return None if pairs.isEmpty() else _verified(pairs, docs, homes, n, percent)
 
 
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -356,36 +408,40 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     component_id is the smallest doc_id reachable by links. Texts are whole; sets are compared by 64-bit hashes of
     shingles, and documents of one set are one node (copies are never expanded into pairs). Documents without words
     have an empty set and are linked with nothing. A null text has no words. A row without doc_id ties
-    nothing together; its component is that of documents with the same set, or null. Repeated rows are copies.
+    nothing together; its component is that of documents with the same set, or null. Repeated rows are copies. An
+    empty table gives no rows; other columns are left behind.
     """
     (docs,) = at_home(texts_of(docs))
-    made = stored(_signatures(docs, n), "signatures")
+    made = stored(_signatures(docs, n, percent), "signatures")
     points = stored(made.where("point is not null").groupBy("sig").agg(F.first("size").alias("size"), F.first("point").alias("point")), "points")
-    homes = made.where("size > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    homes = stored(made.where("size > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "homes")
 
-    stars = stored(_bounded(_stars(_bucketed(docs, n, percent)), points, percent), "stars")
+    stars = stored(_bounded(_stars(_bucketed(docs, n, percent, _frequent_buckets(made))), points, percent), "stars")
     # a member first tries the leader that it shares most groups with; then other leaders, if that left them apart
     best = Window.partitionBy("b").orderBy(F.desc("groups"), "a")
     likely = stars.where("may_link").withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b", "na", "nb")
     links = _verified(likely, docs, homes, n, percent)
     labels = stored(components(links, "a", "b"), "labels")
     apart = _labelled(stars.where("may_link").join(likely.select("a", "b"), ["a", "b"], "left_anti"), labels).where("la <> lb")
-    links, labels = _with_more(apart, links, labels, docs, homes, n, percent)
+    if (more := _more_links(apart, docs, homes, n, percent)) is not None:
+        links = links.unionByName(more)
+        labels = stored(components(links, "a", "b"), "labels")
 
-    torn = _labelled(stars.select("a", "b"), labels).where("la <> lb")
-    clusters = stored(components(torn, "la", "lb"), "clusters").select(F.col("node").alias("label"), F.col("component").alias("cluster"))
-    named = points.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("component", "sig")).drop("component")
     # pairs of a star are verified already
     tried = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-    found = _searched(named.join(clusters, "label"), percent).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tried, ["low", "high"], "left_anti")
-    _, final = _with_more(found, links, labels, docs, homes, n, percent)
+    found = _searched(stars, labels, points, percent).distinct().withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tried, ["low", "high"], "left_anti")
+    if (more := _more_links(found, docs, homes, n, percent)) is not None:
+        links = links.unionByName(more)
     discard(points, stars)
 
-    rows = made.select("doc_id", F.col("size").alias("n_shingles"), "sig")
-    rows = rows.join(final.withColumnRenamed("node", "sig"), "sig", "left").withColumn("node", F.coalesce("component", "sig"))
-    smallest = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("smallest"))
-    out = rows.join(smallest, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a set's node is its smallest doc_id from here on, so a component's smallest node is its id
+    for c in ("a", "b"):
+        links = links.join(homes.select(F.col("sig").alias(c), F.col("doc_id").alias(f"d{c}")), c)
+    final = components(links, "da", "db")
+    sets = homes.join(final, F.col("doc_id") == F.col("node"), "left").select("sig", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = made.where("size is not null").select("doc_id", F.col("size").alias("n_shingles"), "sig")
+    out = rows.join(stored(sets, "components"), "sig", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -111,6 +111,41 @@ def discard(*tables: DataFrame) -> None:
 
 #: A key is hot if it has more than one in HOT_KEYS of all rows. Fewer than HOT_KEYS keys can be.
 HOT_KEYS = 10_000
+#: Counters of frequent values that a task keeps.
+COUNTERS = 4 * HOT_KEYS
+
+
+class Counters:
+    """Frequent values among all that were counted, each with the smallest payload seen while it was counted.
+
+    None with more than one in ``size`` of all is missing, and a count falls short by one in ``size`` of them at most (a
+    Misra-Gries summary; sums of summaries keep that promise).
+    """
+
+    def __init__(self, size: int = COUNTERS):
+        self.size, self.total = size, 0
+        self.value, self.n, self.payload = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def count(self, values: np.ndarray, payload: np.ndarray | None = None) -> None:
+        self.total += len(values)
+        payload = np.zeros(len(values), np.int64) if payload is None else payload
+        weight = np.concatenate([self.n, np.ones(len(values), np.int64)])
+        payload = np.concatenate([self.payload, payload])
+        self.value, at = np.unique(np.concatenate([self.value, values]), return_inverse=True)
+        self.n = np.bincount(at, weight, len(self.value)).astype(np.int64)
+        self.payload = np.full(len(self.value), np.iinfo(np.int64).max)
+        np.minimum.at(self.payload, at, payload)
+        if len(self.value) > self.size:
+            self.n -= np.partition(self.n, -self.size - 1)[-self.size - 1]
+            stays = self.n > 0
+            self.value, self.n, self.payload = self.value[stays], self.n[stays], self.payload[stays]
+
+
+def frequent(counts: DataFrame, value: str, least: int) -> DataFrame:
+    """Of summed counters (rows of value and n, the row without a value holding the total) those of at least ``least`` that
+    can have more than one in HOT_KEYS of the total: none is missed, and there are fewer than 1.4 * HOT_KEYS."""
+    total = counts.where(F.col(value).isNull()).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    return counts.where(F.col(value).isNotNull() & (F.col("n") >= F.lit(max(float(least), total / HOT_KEYS - total / COUNTERS))))
 
 
 def joined(many: DataFrame, keyed: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:

@@ -10,8 +10,8 @@ but the first are repeats as a whole. Where a seed has several contexts, the fir
 word: its windows are made from the text once more and compared. Neighbouring anchors' matches add up to maximal repeats.
 
 A seed that more than one in HOT_KEYS anchors has is dealt by its contexts instead, and all of these are extended. Seeds
-are found to be that frequent by counters that every task keeps of all its anchors, COUNTERS at most, and that add up:
-none is missed, and there are fewer than 1.4 * HOT_KEYS.
+are found to be that frequent by counters that every task keeps of all its anchors, and that add up:
+none is missed (see shared.Counters).
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HOT_KEYS, at_home, chunks, discard, joined, partitions, stored, texts_of
+from .shared import Counters, at_home, chunks, discard, frequent, joined, partitions, stored, texts_of
 from .textops import inside, mix, ngrams, words
 
 #: Words in a seed; contexts that occur twice in a chunk and are remembered by a task.
 SEED_WORDS, HOT = 5, 200_000
-#: Counters of frequent seeds that a task keeps; anchors below which a seed is not frequent.
-COUNTERS, LEAST_FREQUENT = 4 * HOT_KEYS, 64
+#: Anchors below which a seed is not frequent.
+LEAST_FREQUENT = 64
 #: Kinds of anchors: met by seed; met by context, as the seed is frequent; known to be a repeat.
 BY_SEED, BY_CONTEXT, SETTLED = 0, 1, 2
 
@@ -95,23 +95,6 @@ class _Hot:
         return out
 
 
-class Counters:
-    """Frequent values among all that were counted: none with more than one in ``size`` of them is missing, and a count
-    falls short by one in ``size`` of them at most (a Misra-Gries summary; sums of summaries keep that promise)."""
-
-    def __init__(self, size: int = COUNTERS):
-        self.size, self.total, self.value, self.n = size, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def count(self, values: np.ndarray) -> None:
-        self.total += len(values)
-        value, n = np.unique(values, return_counts=True)
-        self.value, at = np.unique(np.concatenate([self.value, value]), return_inverse=True)
-        self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.value)).astype(np.int64)
-        if len(self.value) > self.size:
-            self.n -= np.partition(self.n, -self.size - 1)[-self.size - 1]
-            self.value, self.n = self.value[self.n > 0], self.n[self.n > 0]
-
-
 def _frequent_seeds(docs: DataFrame, length: int) -> np.ndarray:
     """The seeds that more than one in HOT_KEYS anchors has, sorted. The driver gets fewer than 1.4 * HOT_KEYS numbers."""
 
@@ -123,14 +106,12 @@ def _frequent_seeds(docs: DataFrame, length: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([None, *counters.value.view(np.int64).tolist()], pa.int64()), pa.array([counters.total, *counters.n.tolist()], pa.int64())], ["seed", "n"])
 
     counts = stored(docs.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seed-counts")
-    total = counts.where("seed is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    least = max(LEAST_FREQUENT, total / HOT_KEYS - total / COUNTERS)
-    found = [row.seed for row in counts.where(F.col("seed").isNotNull() & (F.col("n") >= F.lit(float(least)))).select("seed").collect()]
+    found = [row.seed for row in frequent(counts, "seed", LEAST_FREQUENT).select("seed").collect()]
     discard(counts)
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def _instances(docs: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
+def _instances(docs: DataFrame, length: int, often_met: np.ndarray) -> DataFrame:
     """key, context, doc_id and place of each anchor; place holds pos (first window), n (its windows) and the kind.
 
     Where a task has seen the same context earlier, all windows are known to be repeats: such a row has a key of its
@@ -149,7 +130,7 @@ def _instances(docs: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
                 context = mix(np.add.reduceat(mix(windows), at) ^ mix(seed))
                 done = hot.settled(context, doc, pos)
                 spread = mix(context + mix(doc.view(np.uint64)) + pos.astype(np.uint64))
-                often = np.isin(seed, frequent)
+                often = np.isin(seed, often_met)
                 key = np.where(done, spread, np.where(often, mix(seed + context), seed))
                 kind = np.where(done, SETTLED, np.where(often, BY_CONTEXT, BY_SEED))
                 place = (pos << 12) | (n << 2) | kind

@@ -153,6 +153,23 @@ def test_ngram_join(docs, none, n, percent):
     assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(d for d, (_, c) in expected.items() if d == c)
 
 
+def test_ngram_join_of_hot_buckets_and_torn_stars(spark, monkeypatch):
+    """A passage in most texts, a large group of near copies and strays beside it, with blocks and counts of a few sets."""
+    rng = random.Random(6)
+    prose = lambda n: [f"v{rng.randrange(300)}" for _ in range(n)]
+    passage, base = prose(30), prose(80)
+    rows = [(k, " ".join(prose(5) + passage + prose(4))) for k in range(60)]
+    rows += [(100 + k, " ".join(base[: 79 - k % 4] + [f"n{k}"] * (k % 3))) for k in range(60)]
+    rows += [(300 + k, " ".join(base[:60] + prose(4 + k))) for k in range(20)] + [(400, "v1 v2"), (401, "V1 v2"), (402, None), (100, rows[60][1])]
+    expected = joined(list({d: (d, t) for d, t in rows}.values()), 4, 85)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for least in (64, 3):
+        monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", least)
+        same(ngram_join.link_components(frame), [(d, *expected[d]) for d, _ in rows])
+    assert len({c for _, c in expected.values()}) < 140
+
+
 def test_rtree_finds_all_pairs():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (300, ngram_join.VECTOR)).astype("<u4")
@@ -284,7 +301,7 @@ def test_counters_miss_no_frequent_value():
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.zipf(1.3, 20_000).astype(np.uint64), rng.integers(10**6, 10**9, 20_000).astype(np.uint64)])
     rng.shuffle(values)
-    counters = substring_dedup.Counters(200)
+    counters = shared.Counters(200)
     for part in np.array_split(values, 37):
         counters.count(part)
     found = dict(zip(counters.value.tolist(), counters.n.tolist(), strict=True))
