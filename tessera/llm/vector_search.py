@@ -3,7 +3,8 @@
 Inner products become Euclidean distances by one more coordinate, sqrt(largest norm ** 2 - norm ** 2). Graphs are
 built by insertion in growing batches: a greedy beam search from the entry proposes neighbours, pruning drops a
 candidate that is closer (by the factor ALPHA) to a neighbour already chosen, so that edges stay diverse, and the
-reverse edges are added and pruned likewise. A query goes by beam search through every shard.
+reverse edges are added and pruned likewise. A query goes by beam search through every shard: the work is queries times
+shards, dealt out evenly by (shard, block of queries).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import at_home, stored
+from .shared import at_home, partitions, stored
 
 #: Edges of a node, width of the beams for building and for searching, slack of the pruning, nodes expanded at once.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, EXPAND = 32, 64, 128, 1.2, 4
@@ -167,7 +168,7 @@ def _graphs(rows: DataFrame, k: int) -> DataFrame:
         })
 
     dealt = distinct.select(F.size("v").alias("dim"), F.pmod("h2", F.lit(shards)).cast("int").alias("shard"), "v", "members")
-    made = dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, entry int, vectors binary, edges binary, ends binary, ids binary")
+    made = dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, entry int, vectors binary, edges binary, ends binary, ids binary")
     return stored(made, "graphs")
 
 
@@ -187,7 +188,15 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")})
     asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    work = asked.join(graphs, "dim").select("dim", "entry", "vectors", "edges", "ends", "ids", F.col("queries.vec_id").alias("query_ids"), F.flatten("queries.v").alias("query_vectors"))
+    asked = asked.select("dim", "block", F.col("queries.vec_id").alias("query_ids"), F.flatten("queries.v").alias("query_vectors"))
+    # every block goes to every shard; where shards are fewer than tasks, several copies of a shard share its blocks
+    shards = graphs.agg(F.coalesce(F.max("shard") + 1, F.lit(1)).alias("n")).first().n
+    copies = min(blocks, max(1, -(-partitions(asked.sparkSession) // shards)))
+    keys, tasks = ["dim", "shard", "copy"], 4 * shards * copies
+    sent = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (F.col("block") % copies).alias("copy"), "query_ids", "query_vectors")
+    kept = graphs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    work = sent.repartition(tasks, *keys).hint("merge").join(kept.repartition(tasks, *keys), keys)
+    work = work.select("dim", "entry", "vectors", "edges", "ends", "ids", "query_ids", "query_vectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,6 +225,6 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                         out[2].append(score[best])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 
-    found = work.repartition(F.xxhash64("edges"), F.xxhash64("query_ids")).mapInArrow(search, "query_id long, vec_id long, score double")
+    found = work.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -114,6 +114,20 @@ def test_parts_are_safe():
         assert [i for p in parts for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_units_give_the_ids_of_whole_texts(monkeypatch):
+    """Words, digits, apostrophes, odd white space and special strings, by units and by parts of a long text."""
+    rng = random.Random(8)
+    pieces = ["don't", "it's", "12,345", "é", "日本語", "\u3000", "\t", "\n", "\n\n", " ", "  ", "a", "Zebra", "<|endoftext|>", "😀", "x" * 50, "\x00", "'s", "--", "\x85"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    texts.append(" ".join(rng.choice(["alpha", "beta", "don't", "7"]) for _ in range(90_000)) + "  " + "<|endoftext|>")
+    tokenizer = encoders.library_tokenizer(JSON)
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(encoders, "CACHE_UNITS", 50)
+    assert len(texts[-1]) > 2 * encoders.LONG_TEXT
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoders.encode_all(encoders.json_encoding(JSON, public_tokenizers.PATTERN), texts)] == expected
+    assert encoders.count_all(JSON, texts) == list(map(len, expected))
+
+
 def test_token_counts(docs, none):
     tokenizer = encoders.library_tokenizer(JSON)
     n = {t: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in ROWS}
@@ -399,7 +413,10 @@ def test_mined_url_rules(spark):
     assert {r.url for r in url_rules.matched(labelled.select("url"), rules).collect()} == {u for u in urls if "cheap" in u}
 
 
-def test_vector_search(spark):
+@pytest.mark.parametrize(("shard", "block"), [(8192, 1024), (200, 16)])
+def test_vector_search(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(vector_search, "SHARD", shard)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", block)
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((1500, 16)).astype(np.float32)
     vectors[300:400] = vectors[300]
