@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .encoders import encode_all, json_encoding
 from .shared import at_home, chunks, partitions, stored, texts_of
@@ -19,6 +20,8 @@ BUCKETS, DIMS, BITS = 256, 3, 16
 _PLANES = np.random.Generator(np.random.PCG64(7)).standard_normal((BUCKETS, DIMS))
 #: Sequences of one partition are numbered from its index times this.
 STRIDE = 1 << 36
+#: Bytes of ids in one stream, which one task sorts and cuts.
+STREAM_BYTES = 64 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -65,7 +68,6 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 def tokenised(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int) -> DataFrame:
     """doc_id, curve_key, n_tokens and ids (little-endian unsigned 32-bit, end_id last) of each document."""
-    (docs,) = at_home(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = json_encoding(tokenizer_file, pattern)
@@ -138,14 +140,17 @@ def pack(docs: DataFrame, tokenizer_file: str, pattern: str, size: int = 1024, e
 
     Each document is its ids followed by end_id. Its hashed token vector is projected to DIMS dimensions and gets a
     key on the Hilbert curve; documents are range-sorted by (key, doc_id), so that copies, which share a key, still
-    spread over partitions. Each partition is one stream, cut every size ids; the rest of a stream is cut into
+    spread over partitions. Each partition is one stream of at most about STREAM_BYTES, cut every size ids; the rest of a stream is cut into
     powers of two, which need no padding. sequence_id is unique over all partitions, not gapless; offset is gapless
     within a sequence. Returns a row for each piece (PIECES, and the ids themselves if with_ids).
     A null text is empty and packs as end_id alone; null doc_id and repeated rows are packed like any other; no
     rows give no pieces; other columns are left behind.
     """
+    (docs,) = at_home(docs)
     tokens = stored(tokenised(docs, tokenizer_file, pattern, end_id), "packing")
     order = ["curve_key", "doc_id"]
-    ranged = tokens.repartitionByRange(partitions(docs.sparkSession), *order, "n_tokens").sortWithinPartitions(*order, "n_tokens")
+    n_bytes = 4 * tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
+    streams = max(partitions(docs.sparkSession), -(-n_bytes // STREAM_BYTES))
+    ranged = tokens.repartitionByRange(streams, *order, "n_tokens").sortWithinPartitions(*order, "n_tokens")
     schema = PIECES + (", ids binary" if with_ids else "")
     return ranged.select("doc_id", "n_tokens", "ids").mapInArrow(lambda batches: _pieces(batches, size, with_ids), schema)
