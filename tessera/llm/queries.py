@@ -125,5 +125,54 @@ placed as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)
 kept as (select doc_id, string_agg(word, ' ' order by pos) as kept, count(*) as n_kept from placed anti join gone using (doc_id, pos) group by doc_id)
 select doc_id, cast(len(words) as bigint) as n_words, len(words) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from docs left join kept using (doc_id)
+""",
+    "op2_url_rules": r"""
+with rest as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (
+    select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+    from rest
+),
+given as (
+    select *, case
+        when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/7') then 'example.com/en/7'
+        when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/de/8') then 'example.net/de/8'
+        when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/en/') then 'com/en/'
+        when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/de/') then 'net/de/'
+        when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/es/') then 'org/es/' end as rule
+    from parts
+),
+urls as (select url, any_value(host) as host, any_value(path) as path from given where url is not null group by url),
+raw as (
+    select url, unnest(string_split(host, '.')) as t, 'host:' as kind from urls
+    union all select url, lower(unnest(string_split_regex(path, '[/._-]'))), 'path:' from urls
+    union all select url, split_part(unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')), '=', 1), 'query:' from urls
+),
+tokens as (select distinct url, kind || regexp_replace(t, '[0-9]+', '0', 'g') as t from raw where t <> '' and not ends_with(t, ':')),
+known as (select doc_id, bool_or(coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1) as bad from labels where doc_id is not null group by doc_id),
+labelled as (select row_number() over () as id, url, case when bad then 'block' else 'allow' end as label from given join known on page_id = doc_id where url is not null),
+shares as (select label, count(*) / (select count(*) from labelled) as share from labelled group by label),
+held as (select id, label, t from labelled join tokens using (url)),
+sets as (
+    select id, label, [t] as s from held
+    union all select id, a.label, [a.t, b.t] from held a join held b using (id) where a.t < b.t
+    union all select id, a.label, [a.t, b.t, c.t] from held a join held b using (id) join held c using (id) where a.t < b.t and b.t < c.t
+),
+counts as (select s, label, count(*) as n from sets group by s, label),
+totals as (select s, sum(n) as total from counts group by s),
+sure as (
+    select s, label, (cast(n as double) / cast(total as double) - share) / (1 - share) as certainty
+    from counts join totals using (s) join shares using (label) where n >= 0.02 * (select count(*) from labelled) and share < 1
+),
+above as (select * from sure where certainty >= 0.1),
+rules as (
+    select * from above r
+    where not exists (select 1 from above p where p.label = r.label and len(p.s) < len(r.s) and list_has_all(r.s, p.s) and p.certainty >= r.certainty)
+),
+all_tokens as (select url, list(t) as ts from tokens group by url),
+hits as (select url, arg_max(label, (certainty, label)) as verdict from all_tokens join rules on list_has_all(ts, s) group by url)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule,
+    case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' when rule is not null then 'allow' else coalesce(verdict, 'allow') end as verdict
+from given left join hits using (url)
 """,
 }

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small fixture with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -404,13 +405,36 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.where("false"), URL_RULES, labels).count() == 0
 
 
+def mined(labelled, support, certainty):
+    """Brute force over all token sets: {(tokens, label): certainty} after pruning."""
+    baskets = [(frozenset(t), "block" if bad else "allow") for t, bad in labelled]
+    share, above = Counter(label for _, label in baskets), {}
+    for size in (1, 2, 3):
+        for tokens in {c for t, _ in baskets for c in itertools.combinations(sorted(t), size)}:
+            having = Counter(label for t, label in baskets if t.issuperset(tokens))
+            for label, n in having.items():
+                base = share[label] / len(baskets)
+                sure = (n / sum(having.values()) - base) / (1 - base) if base < 1 else 0
+                if n >= support * len(baskets) and sure >= certainty:
+                    above[tokens, label] = sure
+    return {(t, x): c for (t, x), c in above.items() if not any(x == y and set(p) < set(t) and d >= c for (p, y), d in above.items())}
+
+
 def test_mined_url_rules(spark):
-    urls = [f"http://{'cheap.pills' if k % 4 == 0 else f'site{k % 7}'}.example.net/{'en' if k % 2 else 'de'}/{k}" for k in range(200)]
-    labelled = spark.createDataFrame([(u, "cheap" in u) for u in urls], "url string, bad boolean")
-    rules = url_rules.mine(labelled)
-    mined = [set(r.tokens) for r in rules.collect()]
-    assert mined and all(m & {"host:cheap", "host:pills"} for m in mined) and not any(a < b for a in mined for b in mined)
-    assert {r.url for r in url_rules.matched(labelled.select("url"), rules).collect()} == {u for u in urls if "cheap" in u}
+    rng = random.Random(2)
+    urls = [f"http://{rng.choice(['a.', 'm.', ''])}{rng.choice(['pills', 'news', 'shop'])}.{rng.choice(['net', 'org'])}/{rng.choice(['en', 'de', 'fr'])}/{k}{rng.choice(['?ref=1&page=2', '', '.html'])}" for k in range(240)]
+    urls += [urls[0], "http://long.net/" + "x/" * 30_000 + "end?" + "&".join(f"q{'abcdefgh'[i % 8]}={i}" for i in range(9_000)), "nothing", "http://"]
+    bad = [rng.random() < (0.8 if "pills" in u and "/fr/" in u else 0.5 if "shop" in u else 0.1) for u in urls]
+    labelled = spark.createDataFrame(list(zip(urls, bad, strict=True)), "url string, bad boolean")
+    (own,) = shared.at_home(labelled)
+    tokens = {r.url: r.t for r in own.select("url", url_rules.tokens_of(own.url).alias("t")).collect()}
+    expected = mined([(tokens[u], b) for u, b in zip(urls, bad, strict=True)], 0.02, 0.1)
+    rules = url_rules.mine(own)
+    assert {(tuple(r.tokens), r.label): round(r.certainty, 9) for r in rules.collect()} == {k: round(v, 9) for k, v in expected.items()}
+    assert {label for _, label in expected} == {"allow", "block"} and max(len(t) for t, _ in expected) > 1
+    others = own.select("url").unionByName(own.sparkSession.createDataFrame([("https://pills.example/fr/x",)], "url string")).distinct()
+    best = {u: max(((c, x) for (t, x), c in expected.items() if set(t) <= set(ts)), default=None) for u, ts in (tokens | {"https://pills.example/fr/x": ["host:pills", "host:example", "path:fr", "path:x"]}).items()}
+    assert {r.url: r.verdict for r in url_rules.matched(others, rules).collect()} == {u: b[1] for u, b in best.items() if b}
 
 
 @pytest.mark.parametrize(("shard", "block"), [(8192, 1024), (200, 16)])
