@@ -46,6 +46,8 @@ VECTOR, LEAF, BLOCK = 256, 16, 1024
 SEEN = 500_000
 #: Entries below which a bucket is not frequent.
 LEAST_FREQUENT = 64
+#: Members of a torn star that all others are compared with before all are compared with all.
+PIVOTS = 32
 
 
 @lru_cache
@@ -342,9 +344,13 @@ class RTree:
             yield who[i], rows[j]
 
 
-def _searched(stars: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _searched(stars: DataFrame, labels: DataFrame, points: DataFrame, percent: int, by_pivots: bool) -> DataFrame:
     """a, b, na and nb: pairs within a star (a, b) but of different labels that the R-trees' bound leaves.
 
+    by_pivots: only those pairs that hold one of the star's pivots, which are a set each of PIVOTS of its labels. They
+    are PIVOTS times the members at most, and what they link need not be searched by all pairs, so a large group
+    of near copies that its leader does not link to falls together before that.
+
     Only stars whose members have several labels are searched. A star is cut into blocks of about BLOCK members: a
     label with half a block or more has blocks of its own, the others share blocks. Each pair of blocks is a group
     of its own, but for two blocks of the same label, so a star that is one large component with a few stray members
@@ -352,8 +358,8 @@ def _searched(stars: DataFrame, labels: DataFrame, points: DataFrame, percent: i
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        sig, label, size, block = (rows.column(c).to_numpy() for c in ("sig", "label", "size", "block"))
-        fine = rows.column("point").to_pylist()
+        sig, label, size, block, pivot = (rows.column(c).to_numpy() for c in ("sig", "label", "size", "block", "pivot"))
+        fine, leaders = rows.column("point").to_pylist(), [frozenset(x) for x in rows.column("leaders").to_pylist()]
         points_ = np.frombuffer(b"".join(folded(p, VECTOR) for p in fine), "<u4").reshape(-1, VECTOR)
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -361,7 +367,12 @@ def _searched(stars: DataFrame, labels: DataFrame, points: DataFrame, percent: i
         for q, p in RTree(points_[right], size[right]).pairs(points_[left], size[left], percent):
             q, p = left[q], right[p]
             use = (label[q] != label[p]) & ((sig[q] < sig[p]) if i == j else True)
+            if by_pivots:
+                use &= pivot[q] | pivot[p]
             q, p = q[use], p[use]
+            if not by_pivots:  # a pair of several stars is taken in the smallest of them
+                here = np.array([min(leaders[x] & leaders[y]) == key[0].as_py() for x, y in zip(q.tolist(), p.tolist(), strict=True)], bool)
+                q, p = q[here], p[here]
             shared = shared_at_most([fine[x] for x in q], [fine[x] for x in p])
             use = (100 + percent) * shared >= _needed(size[q], size[p], percent)
             found.append((q[use], p[use]))
@@ -371,20 +382,22 @@ def _searched(stars: DataFrame, labels: DataFrame, points: DataFrame, percent: i
     spokes = stars.select("a", F.col("b").alias("sig")).unionByName(stars.select("a", F.col("a").alias("sig")).distinct())
     members = spokes.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left")
     members = stored(members.withColumn("label", F.coalesce("label", "sig")), "star-members")
-    counts = members.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = members.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("head"))
     few = F.sum(F.when(F.col("n") < BLOCK // 2, F.col("n")).otherwise(0)).alias("few")
     torn = stored(counts.join(counts.groupBy("a").agg(F.count(F.lit(1)).alias("labels"), few).where("labels > 1"), "a"), "torn-stars")
+    first = torn.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("label"))).where(F.col("rank") <= PIVOTS)
+    pivots = first.select("a", F.col("head").alias("sig"), F.lit(True).alias("pivot"))
     own = F.col("n") >= BLOCK // 2
     number = lambda n: F.pmod(F.xxhash64("sig"), F.greatest(F.lit(1), F.ceil(n / BLOCK)))
     placed = members.join(torn, ["a", "label"]).select(
         "a", "sig", "label", F.when(own, F.col("label")).alias("pure"),
         F.when(own, F.xxhash64("label", number(F.col("n")))).otherwise(F.xxhash64(number(F.col("few")))).alias("block"),
     )
-    placed = stored(placed, "placed")
+    placed = stored(placed.join(pivots, ["a", "sig"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "placed")
     blocks = stored(placed.select("a", "block", "pure").distinct().groupBy("a").agg(F.collect_list(F.struct("block", "pure")).alias("blocks")), "blocks")
     dealt = placed.join(blocks, "a").withColumn("other", F.explode("blocks")).drop("blocks")
     dealt = dealt.where("pure is null or other.pure is null or pure <> other.pure")
-    dealt = dealt.join(points, "sig").select("a", F.least("block", "other.block").alias("i"), F.greatest("block", "other.block").alias("j"), "sig", "label", "size", "point", "block")
+    dealt = dealt.join(points, "sig").join(placed.groupBy("sig").agg(F.collect_set("a").alias("leaders")), "sig").select("a", F.least("block", "other.block").alias("i"), F.greatest("block", "other.block").alias("j"), "sig", "label", "size", "point", "block", "pivot", "leaders")
     return dealt.repartition(partitions(stars.sparkSession), "a", "i", "j").groupBy("a", "i", "j").applyInArrow(run, "a long, b long, na long, nb long")
 
 
@@ -427,11 +440,16 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
         links = links.unionByName(more)
         labels = stored(components(links, "a", "b"), "labels")
 
-    # pairs of a star are verified already
+    # pairs of a star, and those of the pivots, are verified already
     tried = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-    found = _searched(stars, labels, points, percent).distinct().withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tried, ["low", "high"], "left_anti")
-    if (more := _more_links(found, docs, homes, n, percent)) is not None:
-        links = links.unionByName(more)
+    for by_pivots in (True, False):
+        found = _searched(stars, labels, points, percent, by_pivots).distinct().withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+        found = stored(found.join(tried, ["low", "high"], "left_anti"), "found")
+        if (more := _more_links(found, docs, homes, n, percent)) is not None:
+            links = links.unionByName(more)
+            if by_pivots:
+                labels = stored(components(links, "a", "b"), "labels")
+        tried = tried.unionByName(found.select("low", "high"))
     discard(points, stars)
 
     # a set's node is its smallest doc_id from here on, so a component's smallest node is its id
