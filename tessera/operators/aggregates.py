@@ -42,14 +42,15 @@ def agg_count_distinct(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count("*").alias("n"))
 
 
-@operator("select n_name, min(n_regionkey) as region_key from nation group by n_name")
+@operator("select o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as order_key from orders group by o_custkey")
 def agg_first(t):
-    return t.nation.groupBy("n_name").agg(F.first("n_regionkey").alias("region_key"))
+    """Of several rows of a group the first in a stated order: by date, then by key."""
+    return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("order_key"))
 
 
-@operator("select n_name, max(n_regionkey) as region_key from nation group by n_name")
+@operator("select o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as order_key from orders group by o_custkey")
 def agg_last(t):
-    return t.nation.groupBy("n_name").agg(F.last("n_regionkey").alias("region_key"))
+    return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("order_key"))
 
 
 @operator("select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 12")

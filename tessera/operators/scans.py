@@ -45,3 +45,8 @@ def union_all(t):
 @operator("select c_nationkey as k from customer union select s_nationkey from supplier")
 def union_distinct(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
+
+
+@operator("select * from part where p_name like '%red%'")
+def scan_star_like(t):
+    return t.part.where(F.col("p_name").like("%red%"))

@@ -11,7 +11,7 @@ select o_custkey, total from spend where total = (select max(total) from spend)"
     "derived_table": "select m, count(*) as n from (select c_nationkey % 5 as m from customer where c_acctbal > 0) d group by m",
     "subq_scalar": "select p_partkey from part where p_retailprice > (select cast(sum(cast(p_retailprice as decimal(15,2))) as double) / count(*) from part)",
     "subq_scalar_having": """select l_suppkey, cast(sum(cast(l_quantity as decimal(15,2))) as double) as q from lineitem group by l_suppkey
-having sum(cast(l_quantity as decimal(15,2))) > (select sum(cast(l_quantity as decimal(15,2))) * 0.0125 from lineitem)""",
+having sum(cast(l_quantity as decimal(15,2))) > (select sum(cast(l_quantity as decimal(15,2))) from lineitem) / (select count(*) from supplier)""",
     "subq_corr_scalar": "select p_partkey, p_brand from part p where p_size = (select min(p_size) from part q where q.p_brand = p.p_brand)",
     "subq_corr_two_key": """select l_orderkey, l_linenumber, l_partkey from lineitem a
 where l_quantity >= (select max(l_quantity) from lineitem b where b.l_partkey = a.l_partkey and b.l_suppkey = a.l_suppkey)""",

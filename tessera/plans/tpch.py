@@ -67,6 +67,13 @@ group by supp_nation, cust_nation, l_year order by supp_nation, cust_nation, l_y
     from part join lineitem on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join orders on l_orderkey = o_orderkey
         join customer on o_custkey = c_custkey join nation n1 on c_nationkey = n1.n_nationkey join region on n1.n_regionkey = r_regionkey join nation n2 on s_nationkey = n2.n_nationkey
     where r_name = 'AMERICA' and o_orderdate between date '1995-01-01' and date '1996-12-31' and p_type = 'ECONOMY') all_nations
+group by o_year order by o_year""",
+    "q08_ordered": f"""select o_year, {_sum("case when nation = 'NATION_2' then volume else 0 end")} / nullif({_sum("volume")}, 0) as mkt_share from (
+    select {YEAR.format("o_orderdate")} as o_year, {REVENUE} as volume, n2.n_name as nation
+    from region, nation n1, customer, orders, lineitem, part, supplier, nation n2
+    where p_partkey = l_partkey and s_suppkey = l_suppkey and l_orderkey = o_orderkey and o_custkey = c_custkey
+        and c_nationkey = n1.n_nationkey and n1.n_regionkey = r_regionkey and s_nationkey = n2.n_nationkey
+        and r_name = 'AMERICA' and o_orderdate between date '1995-01-01' and date '1996-12-31' and p_type = 'ECONOMY') all_nations
 group by o_year order by o_year""",
     "q09": f"""with {PARTSUPP}
 select nation, o_year, {_sum("amount")} as sum_profit from (
