@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -23,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which cached() keeps a table.
+CACHE_BYTES = 1 << 30
+
+
+def cached(df: DataFrame, limit: int = CACHE_BYTES) -> DataFrame:
+    """df, kept by the executors for later queries if its estimated size is at most limit; else df as it is.
+
+    What does not fit in memory goes to disk, and what a lost executor held is read again. unpersist() lets it go.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if size <= limit else df
+
+
 def register_views(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
     """Temporary views over the Parquet tables; reading stays lazy and pruned by Catalyst."""
     for name in names or TABLES:

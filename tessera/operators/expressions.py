@@ -65,3 +65,10 @@ def expr_comparison_value(t):
 @operator("select l_orderkey, l_linenumber, l_partkey, cast(cast(l_extendedprice as decimal(15,2)) * (1 - cast(l_discount as decimal(15,2))) as double) as revenue from lineitem")
 def expr_revenue(t):
     return t.lineitem.select(*_KEYS, (money("l_extendedprice") * (1 - money("l_discount"))).cast("double").alias("revenue"))
+
+
+@operator("select s_suppkey, case when s_suppkey < 0 then error('negative key') else s_acctbal end as balance from supplier")
+def expr_guard(t):
+    """A row that must not occur ends the query."""
+    balance = F.when(F.col("s_suppkey") < 0, F.raise_error(F.lit("negative key"))).otherwise(F.col("s_acctbal"))
+    return t.supplier.select("s_suppkey", balance.alias("balance"))

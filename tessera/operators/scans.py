@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..catalog import cached
+from ..sources.delimited import round_trip
 from .registry import operator
 
 
@@ -50,3 +52,19 @@ def union_distinct(t):
 @operator("select * from part where p_name like '%red%'")
 def scan_star_like(t):
     return t.part.where(F.col("p_name").like("%red%"))
+
+
+@operator("select * from orders")
+def scan_delimited(t):
+    """Integer, date, double and string columns, loaded from delimited text."""
+    return round_trip(t.orders)
+
+
+@operator("select l_returnflag, l_shipdate from lineitem where l_quantity < 10")
+def scan_delimited_filter(t):
+    return round_trip(t.lineitem).where("l_quantity < 10").select("l_returnflag", "l_shipdate")
+
+
+@operator("select n_regionkey, count(*) as n, min(n_name) as first_name from nation group by n_regionkey")
+def scan_cached(t):
+    return cached(t.nation).groupBy("n_regionkey").agg(F.count("*").alias("n"), F.min("n_name").alias("first_name"))

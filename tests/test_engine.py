@@ -1,11 +1,15 @@
 """Plans, nulls, empty inputs, duplicate keys and delimited files."""
 
+import types
+
 import pytest
 from compare import SF
 
 from tessera import cli, operators
-from tessera.catalog import FILE_SCHEMAS
+from tessera.catalog import FILE_SCHEMAS, cached
 from tessera.functions.numeric import exact_avg, exact_sum
+from tessera.operators import expressions
+from tessera.plans import tpch
 from tessera.sources.delimited import read_delimited, write_delimited
 
 
@@ -23,6 +27,28 @@ def test_strategies(spark, name, node):
     assert node in plan(operators.QUERIES[name](spark, SF))
 
 
+def test_range_of_doubles_reaches_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        assert "GreaterThanOrEqual(l_discount,0.044)" in plan(tpch.QUERIES["q06"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_cache_is_bounded(spark):
+    nation = spark.read.parquet(f"{SF}/nation.parquet")
+    assert cached(nation, limit=10).storageLevel.useMemory is False
+    kept = cached(nation)
+    assert kept.storageLevel.useMemory and "InMemoryTableScan" in plan(kept.where("n_nationkey > 1"))
+    kept.unpersist()
+
+
+def test_guard_ends_the_query(spark):
+    frame = spark.createDataFrame([(-1, 2.0)], "s_suppkey long, s_acctbal double")
+    with pytest.raises(Exception, match="negative key"):
+        expressions.expr_guard(types.SimpleNamespace(supplier=frame)).collect()
+
+
 def test_empty_aggregates(spark):
     empty = spark.createDataFrame([], "k long, v double")
     row = empty.agg(exact_sum("v").alias("s"), exact_avg("v").alias("a")).first()
