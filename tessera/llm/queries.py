@@ -174,5 +174,23 @@ hits as (select url, arg_max(label, (certainty, label)) as verdict from all_toke
 select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule,
     case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' when rule is not null then 'allow' else coalesce(verdict, 'allow') end as verdict
 from given left join hits using (url)
+""",
+    "op4_ngram_join": r"""
+with recursive docs as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+    from documents
+),
+placed as (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as pos from docs where len(words) > 0),
+shingles as (select distinct doc_id, array_to_string(words[pos : pos + 3], ' ') as s from placed),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as n_shared from shingles a join shingles b using (s) where a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (
+    select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * n_shared >= 85 * (p.n + q.n - n_shared)
+),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select x, y from both_ways union select reach.x, b.y from reach join both_ways b on b.x = reach.y),
+least_reached as (select x as doc_id, min(y) as low from reach group by x)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(least(doc_id, low), doc_id) as component_id
+from docs left join sizes using (doc_id) left join least_reached using (doc_id)
 """,
 }

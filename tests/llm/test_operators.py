@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -382,6 +383,34 @@ def test_classifier(spark, docs, none):
     assert quality_classifier.classify(none, labels).count() == 0
 
 
+def test_classifier_against_plain_updates(spark):
+    """The same updates one feature at a time, on words and pairs by name: equal scores, so hashing and arrays add nothing."""
+    q, rng = quality_classifier, random.Random(4)
+    vocabulary = "alpha Beta gamma delta epsilon zeta".split()
+    rows = [(k, " ".join(rng.choices(vocabulary, (6, 1, 1, 1, 1, 1) if k % 2 else (1, 1, 1, 1, 1, 4), k=rng.randint(0, 25)))) for k in range(120)] + [(500, None)]
+
+    def bag(text):
+        w = WORD.findall(text or "")
+        found = Counter(w) + Counter("the same twice" if a == b else (a, b) for a, b in itertools.pairwise(w))
+        return {f: c / math.sqrt(found.total()) for f, c in found.items()} | {"the bias": 1.0}
+
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda f: 0.0 if abs(z[f]) <= q.L1 else -(z[f] - math.copysign(q.L1, z[f])) / ((q.OFFSET + math.sqrt(n[f])) / q.STEP + q.L2)
+    chance = lambda x: 1 / (1 + math.exp(-sum(weight(f) * v for f, v in x.items())))
+    learned, order = np.array([k for k in range(120) if zlib.crc32(str(k).encode()) % 4 != 2]), np.random.Generator(np.random.PCG64(3))
+    for _ in range(q.EPOCHS):
+        for k in order.permutation(learned).tolist():
+            x = bag(rows[k][1])
+            wrong = chance(x) - k % 2
+            for f, w, v in [(f, weight(f), v) for f, v in x.items()]:
+                z[f] += wrong * v - (math.sqrt(n[f] + (wrong * v) ** 2) - math.sqrt(n[f])) / q.STEP * w
+                n[f] += (wrong * v) ** 2
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    out = {r.doc_id: r.score for r in q.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels).collect()}
+    assert out.keys() == {k for k, _ in rows} and max(out.values()) > 0.8 and min(out.values()) < 0.2
+    assert all(abs(out[k] - chance(bag(t))) < 1e-5 for k, t in rows)
+
+
 def url_parts(url):
     if url is None or "://" not in url:
         return "", ""
