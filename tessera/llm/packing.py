@@ -140,8 +140,9 @@ def pack(docs: DataFrame, tokenizer_file: str, pattern: str, size: int = 1024, e
 
     Each document is its ids followed by end_id. Its hashed token vector is projected to DIMS dimensions and gets a
     key on the Hilbert curve; documents are range-sorted by (key, doc_id), so that copies, which share a key, still
-    spread over partitions. Each partition is one stream of at most about STREAM_BYTES, cut every size ids; the rest of a stream is cut into
-    powers of two, which need no padding. sequence_id is unique over all partitions, not gapless; offset is gapless
+    spread over partitions. Each partition is one stream, cut every size ids; the rest of a stream is cut into powers of
+    two, which need no padding. Streams hold STREAM_BYTES on average: ranges are drawn by rows, and long documents lie
+    side by side on the curve, so that one stream can hold several times as much. sequence_id is unique over all partitions, not gapless; offset is gapless
     within a sequence. Returns a row for each piece (PIECES, and the ids themselves if with_ids).
     A null text is empty and packs as end_id alone; null doc_id and repeated rows are packed like any other; no
     rows give no pieces; other columns are left behind.
