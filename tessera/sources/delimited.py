@@ -28,7 +28,7 @@ def round_trip(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
+    if not shared and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = f"{(shared or tempfile.gettempdir()).rstrip('/')}/delimited-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
