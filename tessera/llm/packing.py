@@ -22,6 +22,8 @@ _PLANES = np.random.Generator(np.random.PCG64(7)).standard_normal((BUCKETS, DIMS
 STRIDE = 1 << 36
 #: Bytes of ids in one stream, which one task sorts and cuts.
 STREAM_BYTES = 64 << 20
+#: Ids in one row of the range sort, whose ranges are drawn by rows: with small rows these are nearly ranges by bytes.
+SEGMENT = 1024
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -66,8 +68,14 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_keys(np.minimum(grid.astype(np.int64), 2**BITS - 1))
 
 
+SEGMENTS = "doc_id long, curve_key long, n_tokens long, text_crc long, start long, ids binary"
+
+
 def tokenised(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int) -> DataFrame:
-    """doc_id, curve_key, n_tokens and ids (little-endian unsigned 32-bit, end_id last) of each document."""
+    """A row for every SEGMENT ids of each document (SEGMENTS; ids little-endian unsigned 32-bit, end_id last).
+
+    n_tokens and text_crc are the whole document's, start is the ids before the row's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = json_encoding(tokenizer_file, pattern)
@@ -77,12 +85,18 @@ def tokenised(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int) -
                 ids = encode_all(encoding, rows.column(1).to_pylist())
                 keys = curve_keys([np.frombuffer(i, "<u4") for i in ids])
                 ids = [i + end for i in ids]
+                sizes = np.array([len(i) // 4 for i in ids])
+                n_segments = -(-sizes // SEGMENT)
+                of = np.repeat(np.arange(len(ids)), n_segments)
+                start = SEGMENT * (np.arange(len(of)) - np.repeat(np.cumsum(n_segments) - n_segments, n_segments))
+                crcs = np.array([zlib.crc32(i) for i in ids])
+                cut = [ids[d][4 * at : 4 * (at + SEGMENT)] for d, at in zip(of.tolist(), start.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(keys, pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.large_binary()).cast(pa.binary())],
-                    ["doc_id", "curve_key", "n_tokens", "ids"],
+                    [rows.column(0).take(pa.array(of)), *(pa.array(c, pa.int64()) for c in (keys[of], sizes[of], crcs[of], start)), pa.array(cut, pa.binary())],
+                    ["doc_id", "curve_key", "n_tokens", "text_crc", "start", "ids"],
                 )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, curve_key long, n_tokens long, ids binary")
+    return texts_of(docs).mapInArrow(run, SEGMENTS)
 
 
 def _tail_sizes(n: int) -> list[int]:
@@ -91,11 +105,15 @@ def _tail_sizes(n: int) -> list[int]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """Cut the stream of documents into sequences of size ids; the last of them into sizes that need no padding."""
+    """Cut the stream of segments into sequences of size ids; the last of them into sizes that need no padding.
+
+    Segments that follow each other in a document and fall into one sequence are one piece.
+    """
     part = TaskContext.get().partitionId()
     sequence, fill = part * STRIDE, 0
     out: list[tuple] = []
     open_from = 0  # where in out the open sequence begins; its rows still hold their ids
+    last = None  # the document, its length, crc and the ids already placed, of the row placed last
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def row(doc, start, ids, total, seq, offset):
@@ -106,14 +124,20 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int, with_ids: bool) -> Ite
         return pa.RecordBatch.from_arrays(columns + [pa.array([r[7] for r in rows], pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
     for batch in batches:
-        docs, lists = batch.column(0).to_pylist(), batch.column(2)
-        for doc, ids in zip(docs, lists, strict=True):
+        docs, totals, crcs, starts = (batch.column(c).to_pylist() for c in range(4))
+        for doc, total, crc, start, ids in zip(docs, totals, crcs, starts, batch.column(4), strict=True):
             ids = memoryview(ids.as_buffer())
-            total, start = len(ids) // 4, 0
-            while start < total:
-                n = min(size - fill, total - start)
-                out.append(row(doc, start, bytes(ids[4 * start : 4 * (start + n)]), total, sequence, fill))
+            begin, end = start, start + len(ids) // 4
+            while start < end:
+                n = min(size - fill, end - start)
+                cut = bytes(ids[4 * (start - begin) : 4 * (start - begin + n)])
+                if fill and last == (doc, total, crc, start):
+                    _, first, _, _, _, _, offset, before = out.pop()
+                    out.append(row(doc, first, before + cut, total, sequence, offset))
+                else:
+                    out.append(row(doc, start, cut, total, sequence, fill))
                 start, fill = start + n, fill + n
+                last = (doc, total, crc, start)
                 if fill == size:
                     sequence, fill, open_from = sequence + 1, 0, len(out)
         if open_from >= 4096:
@@ -140,18 +164,19 @@ def pack(docs: DataFrame, tokenizer_file: str, pattern: str, size: int = 1024, e
 
     Each document is its ids followed by end_id. Its hashed token vector is projected to DIMS dimensions and gets a
     key on the Hilbert curve; documents are range-sorted by (key, doc_id), so that copies, which share a key, still
-    spread over partitions. Each partition is one stream, cut every size ids; the rest of a stream is cut into powers of
-    two, which need no padding. Streams hold STREAM_BYTES on average: ranges are drawn by rows, and long documents lie
-    side by side on the curve, so that one stream can hold several times as much. sequence_id is unique over all partitions, not gapless; offset is gapless
+    spread over partitions. They are sorted in segments of SEGMENT ids, so that ranges of equal rows are nearly ranges of
+    equal bytes, though long documents lie side by side on the curve, and that a very long one spreads too. Each
+    partition is one stream of STREAM_BYTES on average (about SEGMENT / mean ids of a row times as much at most), cut every
+    size ids; the rest of a stream is cut into powers of two, which need no padding. sequence_id is unique over all partitions, not gapless; offset is gapless
     within a sequence. Returns a row for each piece (PIECES, and the ids themselves if with_ids).
     A null text is empty and packs as end_id alone; null doc_id and repeated rows are packed like any other; no
     rows give no pieces; other columns are left behind.
     """
     (docs,) = at_home(docs)
     tokens = stored(tokenised(docs, tokenizer_file, pattern, end_id), "packing")
-    order = ["curve_key", "doc_id"]
-    n_bytes = 4 * tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
+    order = ["curve_key", "doc_id", "n_tokens", "text_crc", "start"]
+    n_bytes = 4 * tokens.where("start = 0").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
     streams = max(partitions(docs.sparkSession), -(-n_bytes // STREAM_BYTES))
-    ranged = tokens.repartitionByRange(streams, *order, "n_tokens").sortWithinPartitions(*order, "n_tokens")
+    ranged = tokens.repartitionByRange(streams, *order).sortWithinPartitions(*order)
     schema = PIECES + (", ids binary" if with_ids else "")
-    return ranged.select("doc_id", "n_tokens", "ids").mapInArrow(lambda batches: _pieces(batches, size, with_ids), schema)
+    return ranged.select("doc_id", "n_tokens", "text_crc", "start", "ids").mapInArrow(lambda batches: _pieces(batches, size, with_ids), schema)

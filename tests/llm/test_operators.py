@@ -80,6 +80,7 @@ def test_packing(docs, none):
             fill += p.length
         assert fill == 64 or fill & (fill - 1) == 0
     assert by_doc.keys() == {d for d, _ in ROWS}
+    alone = {d for d, n in Counter(d for d, _ in ROWS).items() if n == 1}
     for doc_id, text in ONCE:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         copies = sum(d == doc_id for d, _ in ROWS)
@@ -87,9 +88,25 @@ def test_packing(docs, none):
         assert {p.doc_tokens for p in parts} == {len(ids)} and sum(p.length for p in parts) == copies * len(ids)
         if copies == 1:
             assert np.frombuffer(b"".join(bytes(p.ids) for p in parts), "<u4").tolist() == ids
+    for parts in by_sequence.values():  # what follows itself in a sequence is one piece
+        parts.sort(key=lambda p: p.offset)
+        assert not any((a.doc_id, a.start + a.length) == (b.doc_id, b.start) and b.doc_id in alone for a, b in zip(parts, parts[1:], strict=False))
     assert packing.pack(none, JSON, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_streams_hold_like_bytes(spark):
+    """Long texts side by side on the curve, one of them as long as a stream, and many short ones."""
+    long = [(k, "alpha beta gamma delta " * 2_000) for k in range(40)] + [(40, "alpha beta gamma delta " * 30_000)]
+    short = [(100 + k, f"word{k % 50} other{k % 7} " * 40) for k in range(600)]
+    pieces = packing.pack(spark.createDataFrame(long + short, "doc_id long, text string"), JSON, public_tokenizers.PATTERN).collect()
+    streams = Counter()
+    for p in pieces:
+        streams[p.sequence_id // packing.STRIDE] += p.length
+    total = sum(streams.values())
+    assert total == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    assert len(streams) > 1 and max(streams.values()) < 0.5 * total
+
+
 def test_hilbert_neighbours_touch():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = side[np.argsort(packing.hilbert_keys(side, 3))]
