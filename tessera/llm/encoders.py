@@ -5,8 +5,8 @@ Two facts keep results equal to one library call on the whole text:
 * The pre-splitting pattern never matches across the border before a white-space character that a
   non-white-space character follows: the match in front ends there in any case, and no alternative looks back.
   A text may be cut at such places and the parts encoded alone (``safe_parts``, and units below).
-* A unit (a space and what follows up to the next space) is such a part, so its ids can be kept and reused.
-  Texts with runs of white space after a space, or holding a special token, go to the library whole.
+* A unit (a space and what follows up to the next space) is such a part, so the number of its ids can be kept and
+  reused. Texts with runs of white space after a space, or holding a special token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -136,32 +136,6 @@ class Units:
         return out
 
 
-def _joined_ids(encoding):
-    """A function for the ids of many units by one call: units that begin with a space and end in another
-    character are safe parts of their concatenation, and the tokens' byte lengths tell where each one ends."""
-    lengths = np.zeros(encoding.max_token_value + 1, np.int64)
-    for token in encoding.token_byte_values():
-        lengths[encoding.encode_single_token(token)] = len(token)
-
-    def many(units: list[str]) -> list[bytes]:
-        plain = [u for u in units if u[:1] == " " and not u[-1].isspace()]
-        ids = np.array(encoding.encode_ordinary("".join(plain)), "<u4")
-        ends = np.cumsum([len(u.encode()) for u in plain])
-        cuts = 4 * (np.searchsorted(np.cumsum(lengths[ids]), ends) + 1) if len(plain) else ends
-        data, found, at = ids.tobytes(), {}, 0
-        for unit, cut in zip(plain, cuts.tolist(), strict=True):
-            found[unit] = data[at:cut]
-            at = cut
-        return [found[u] if u in found else ids_bytes(encoding.encode_ordinary(u)) for u in units]
-
-    return many
-
-
-def id_units(encoding) -> Units:
-    """Units whose values are ids as little-endian unsigned 32-bit bytes."""
-    return _once(("id units", id(encoding)), lambda: Units(_joined_ids(encoding), encoding.special_tokens_set))
-
-
 def ids_bytes(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if packed.itemsize != 4:
@@ -171,14 +145,8 @@ def ids_bytes(ids: list[int]) -> bytes:
 
 def encode_all(encoding, texts: list[str]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit bytes; special tokens' strings become their ids."""
-    units = id_units(encoding)
-    kept, out = units.kept, []
-    for text, parts in zip(texts, units.split(texts), strict=True):
-        if parts is None:
-            out.append(b"".join(ids_bytes(encoding.encode(p, allowed_special="all")) for p in safe_parts(text)))
-        else:
-            out.append(b"".join(map(kept.__getitem__, parts)))
-    return out
+    encode = lambda part: encoding.encode_to_numpy(part, allowed_special="all").astype("<u4", copy=False).tobytes()
+    return [b"".join(map(encode, safe_parts(text))) for text in texts]
 
 
 def count_all(path: str, texts: list[str]) -> list[int]:
