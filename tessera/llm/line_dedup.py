@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import at_home, discard, joined, stored, stored_in_buckets, texts_of
+from .shared import at_home, discard, joined, split_by, stored, stored_in_buckets, texts_of
 
 #: White space stripped from a line before it is hashed, and the letters folded.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -112,7 +112,8 @@ def with_kept_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bat
     arrives at once) and no limit: each batch reads the runs before it once, from sorted buckets.
 
     Hot lines are counted before a shuffle and met by a broadcast of fewer than HOT_KEYS rows (see shared.joined); a
-    document's condemned hashes are at most its own lines.
+    document's condemned hashes are at most its own lines. Of documents that lose nothing nearly all stay out of the
+    join of texts with condemned hashes (see shared.split_by).
     Null or empty texts are one empty line. Rows with the same doc_id are one document. Rows without a doc_id
     are not indexed and keep every line. An empty table gives an empty table.
     """
@@ -132,11 +133,13 @@ def with_kept_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bat
         "condemned",
     )
     discard(lines, frequent)
-    joined_docs = docs.join(condemned, docs["doc_id"].cast("long") == condemned["__doc"], "left")
+    losing, whole = split_by(docs, docs["doc_id"].cast("long"), condemned, F.col("__doc"))
+    losing = losing.join(condemned, docs["doc_id"].cast("long") == condemned["__doc"], "left")
     split = F.split(F.coalesce(docs["text"].cast("string"), F.lit("")), "\n", -1)
     survivors = F.filter(split, lambda line: ~F.array_contains("__drop", key_hash(line_key(line))) | (F.length(line_key(line)) < min_chars))
     kept = F.when(F.col("__drop").isNull(), split).otherwise(survivors)
-    return joined_docs.select(*[docs[c] for c in docs.columns], split.alias("__all"), kept.alias("__kept"))
+    out = losing.select(*[docs[c] for c in docs.columns], split.alias("__all"), kept.alias("__kept"))
+    return out.union(whole.select(*[docs[c] for c in docs.columns], split.alias("__all"), split.alias("__kept")))
 
 
 def counted(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Counters, at_home, chunks, discard, frequent, partitions, stored, texts_of
+from .shared import Counters, at_home, chunks, discard, frequent, partitions, split_by, stored, texts_of
 from .textops import inside, mix, ngrams, owner, words
 
 #: Coordinates of a point in the tree; points in an R-tree leaf and in a block of a large star.
@@ -280,7 +280,8 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of pairs (a, b, na, nb) that link, by token sets made again from the text of one document of each set.
 
-    A set is made once for each pair where it is b and once for all where it is a, and crosses the network once.
+    A set is made once for each pair where it is b and once for all where it is a, and crosses the network once. Of
+    documents that no pair needs nearly all stay out of the join with the pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,14 +295,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, perce
     need = _needed(F.col("na"), F.col("nb"), percent).alias("need")
     members = pairs.select(F.col("b").alias("sig"), "a", need, F.lit("member").alias("role"))
     leaders = pairs.select(F.col("a").alias("sig"), "a").distinct().select("sig", "a", F.lit(0).cast("long").alias("need"), F.lit("leader").alias("role"))
-    wanted = homes.join(members.unionByName(leaders), "sig")
-    texts = docs.join(wanted, "doc_id").select("sig", "a", "need", "role", "text")
+    wanted = stored(homes.join(members.unionByName(leaders), "sig"), "wanted")
+    texts = split_by(docs, F.col("doc_id"), wanted, F.col("doc_id"))[0].join(wanted, "doc_id").select("sig", "a", "need", "role", "text")
     sets = stored(texts.mapInArrow(run, "sig long, a long, need long, role string, tokens array<long>"), "token-sets")
     left = sets.where("role = 'member'").select(F.col("sig").alias("b"), "a", "need", F.col("tokens").alias("tokens_b"))
     right = sets.where("role = 'leader'").select("a", F.col("tokens").alias("tokens_a"))
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     links = stored(left.join(right, "a").where(shared * (100 + percent) >= F.col("need")).select("a", "b"), "links")
-    discard(sets)
+    discard(sets, wanted)
     return links
 
 
@@ -429,7 +430,10 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     points = stored(made.where("point is not null").groupBy("sig").agg(F.first("size").alias("size"), F.first("point").alias("point")), "points")
     homes = stored(made.where("size > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "homes")
 
-    stars = stored(_bounded(_stars(_bucketed(docs, n, percent, _frequent_buckets(made))), points, percent), "stars")
+    # the buckets' shuffle, the largest, has gone from disk before points are shuffled
+    tied = stored(_stars(_bucketed(docs, n, percent, _frequent_buckets(made))), "tied")
+    stars = stored(_bounded(tied, points, percent), "stars")
+    discard(tied)
     # a member first tries the leader that it shares most groups with; then other leaders, if that left them apart
     best = Window.partitionBy("b").orderBy(F.desc("groups"), "a")
     likely = stars.where("may_link").withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b", "na", "nb")
@@ -465,9 +469,14 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with its own columns, and of each group of linked documents only the row with the smallest doc_id.
 
-    Of repeated rows with one doc_id one stays. Rows without a doc_id are not judged and all stay.
+    Of repeated rows with one doc_id one stays. Rows without a doc_id are not judged and all stay. Only texts of
+    documents that go or are repeated are shuffled, and few others (see shared.split_by).
     """
-    groups = link_components(docs, n, percent)
-    chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__chosen")).distinct()
-    named = docs.where("doc_id is not null").join(chosen, F.col("doc_id").cast("long") == F.col("__chosen"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    (docs,) = at_home(docs)
+    groups = link_components(docs, n, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc"))
+    judged = groups.agg(F.count(F.lit(1)).alias("__rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__chosen"))
+    unsure = stored(judged.where("__rows > 1 or not __chosen"), "not-chosen-or-repeated")
+    some, single = split_by(docs.where("doc_id is not null"), docs["doc_id"].cast("long"), unsure, F.col("__doc"))
+    gone = unsure.where("not __chosen").select("__doc")
+    some = some.join(gone, docs["doc_id"].cast("long") == F.col("__doc"), "left_anti").dropDuplicates(["doc_id"])
+    return some.union(single).union(docs.where("doc_id is null"))

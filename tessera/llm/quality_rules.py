@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import BLANKS, line_key
-from .shared import at_home, chunks, discard, joined, stored
+from .shared import at_home, chunks, discard, joined, split_by, stored
 from .textops import inside, mix, ngrams, owner, words
 
 #: A line goes if more documents of its host hold it than line_limit(): a tenth of them, but on large hosts fewer
@@ -157,8 +157,9 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns, and in text only the lines that stay.
 
-    Lines above the limits go everywhere; texts without such lines are unchanged. Nulls, repeated rows and rows
-    without a doc_id are as in judge(): a null text has no words and its row goes. Columns may have any further names.
+    Lines above the limits go everywhere; texts without such lines are unchanged, and nearly all of them stay out of
+    the join with the lost lines. Nulls, repeated rows and rows without a doc_id are as in judge(): a null text has no
+    words and its row goes. Columns may have any further names.
     """
     (docs,) = at_home(docs)
 
@@ -170,12 +171,14 @@ def accepted(docs: DataFrame, host: str = "source") -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = {"__h": _host(host), "__d": _document(text), "__t1": F.xxhash64(text)}
-    good = docs.withColumns(key | {"__base": base(text)}).where("not __base.failed")
+    good = lambda rows: rows.withColumns(key | {"__base": base(text)}).where("not __base.failed")
     lost = lost_lines(_rows(docs, host)).select(*[F.col(c).alias(f"__{c}") for c in ("lost_words", "lost_lines")], *[F.col(c).alias(f"__lost_{c}") for c in ("h", "d", "t1")])
     same = [F.col(f"__{c}") == F.col(f"__lost_{c}") for c in ("h", "d", "t1")]
-    left = good.join(lost, same, "left").where(~_is_depleted(F.col("__base.n_words"), F.coalesce("__lost_words", F.lit(0))))
+    losing, whole = split_by(docs, _document(text), lost, F.col("__lost_d"))
+    left = good(losing).join(lost, same, "left").where(~_is_depleted(F.col("__base.n_words"), F.coalesce("__lost_words", F.lit(0))))
     # a line's hash as in _lines(): xxhash64 of several columns takes the first one's hash as the next one's seed
     stays = lambda line: ~F.array_contains("__lost_lines", F.xxhash64(_host_key(host), line_key(line)))
     kept = F.array_join(F.filter(F.split(docs["text"].cast("string"), "\n", -1), stays), "\n")
     new = F.when(F.col("__lost_lines").isNull(), docs["text"]).otherwise(kept)
-    return left.select(*[new.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    rest = good(whole).select(*[docs[c] for c in docs.columns])
+    return left.select(*[new.alias(c) if c == "text" else docs[c] for c in docs.columns]).union(rest)

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, components, encoders, line_dedup, ngram_join, packing, quality_classifier, quality_rules, shared, substring_dedup, token_counts, url_rules, vector_search
 from tessera.llm.queries import URL_RULES
@@ -377,6 +378,42 @@ def test_line_runs(spark):
     assert "SortMergeJoin" in text and "LeftAnti" in text
 
 
+def texts_shuffled(df):
+    """Rows with a text that the exchanges of the last query of df wrote."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec" and "text#" in node.output().toString():
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += below or [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_texts_that_change_nothing_are_not_shuffled(spark):
+    prose = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    common = "a line of the menu that is long enough"
+    rows = [(k, prose(k) + (f"\n{common}" if k < 30 else ""), "host") for k in range(600)] + [(600 + k, prose(599), "host") for k in range(20)] + [(3, prose(3), "host")]
+    (docs,) = shared.at_home(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    docs.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    docs = shared.stored(docs, "docs")
+    for rewritten, least in ((quality_rules.accepted, 0), (line_dedup.rewritten, 29), (ngram_join.one_of_each, 2)):
+        assert least <= texts_shuffled(rewritten(docs)) <= 60, rewritten
+
+
+def test_split_by_misses_no_key(spark):
+    (rows,) = shared.at_home(spark.range(40_000).selectExpr("if(id = 7, null, id) as id", "id % 5 as other"))
+    keys = shared.stored(rows.selectExpr("id * 8 as k").where("k < 40000"), "keys")
+    some, rest = shared.split_by(rows, rows["id"], keys, keys["k"])
+    some, rest = ([r.id for r in part.collect()] for part in (some, rest))
+    assert sorted((some + rest), key=str) == sorted((r.id for r in rows.collect()), key=str)
+    assert {i for i in range(0, 40_000, 8) if i != 56} <= set(some) and len(some) < 5_100
+    some, rest = shared.split_by(rows, rows["id"], keys.where("false"), F.col("k"))
+    assert some.count() == 0 and rest.count() == 40_000
+
+
 def test_line_dedup_with_a_line_in_a_third_of_all_documents(spark):
     common = "the same long line in very many documents"
     rows = [(k, f"{common}\nonly here, in document {k}" if k % 3 == 0 else f"nothing but document number {k}") for k in range(3000)]
